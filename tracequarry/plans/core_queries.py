@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracequarry.operators import instants, skew, wide
+from tracequarry.operators import hierarchy, instants, nested, skew, wide
 from tracequarry.runtime import table
 
 #: The wanted attributes of registry keys by kind.
@@ -56,4 +56,43 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     return groups.select("source_file", "rule_id", "key_text")
 
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p4_found": p4_found}
+#: The arrays of objects in each table's records.
+NESTED_ARRAYS = {
+    "hunt_docs": ("doc_data", "", [
+        "Event.EventData.Privileges", "Event.UserData.Changes", "Event.UserData.Changes.Actors", "values",
+        "Report.Processes", "Report.Processes.Modules", "Report.Processes.Modules.Exports", "Report.Processes.Connections",
+    ]),
+    "srum_db": ("db_content", "root", ["root", "root.Intervals", "root.Intervals.Counters"]),
+}
+
+
+def nested_tables(spark: SparkSession, folder: str, name: str, with_columns: bool = True) -> tuple[DataFrame, nested.SchemaGraph]:
+    """The shredded rows of one table's records and their schema graph."""
+    column, root, arrays = NESTED_ARRAYS[name]
+    records = table(spark, folder, name).select("row_id", column)
+    graph = nested.analyse(records, column, root, arrays)
+    return nested.shred(records, graph, "row_id", column, root, with_columns), graph
+
+
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    parts = []
+    for name, (_, _, arrays) in NESTED_ARRAYS.items():
+        rows, _ = nested_tables(spark, folder, name, with_columns=False)
+        parts.append(rows.where(F.col("arr_path").isin(*arrays)).select(F.lit(name).alias("rec_table"), "rec_id", "arr_path", "ordinals"))
+    return parts[0].unionByName(parts[1])
+
+
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "mft_entries")
+    out = hierarchy.hierarchy(rows, "volume_id", "entry_id", "base_entry_id", "file_name", ["collected_at", "row_id"])
+    return out.select(
+        "volume_id",
+        "entry_id",
+        F.col("root").alias("root_entry_id"),
+        F.col("depth").cast("int").alias("node_depth"),
+        F.col("n_desc").cast("int").alias("n_desc"),
+        F.col("path").alias("node_path"),
+    )
+
+
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p4_found": p4_found, "p5_found": p5_found, "p6_found": p6_found}
