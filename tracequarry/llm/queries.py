@@ -3,11 +3,25 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tracequarry.llm import packing, tokens
+from tracequarry.llm import encoding_repair, packing, tokens
 from tracequarry.runtime import table
 
 
+#: The names and paths in which wrong decodings are looked for.
+NAMES = (("reg_values", "value_name"), ("mft_entries", "full_path"), ("shim_entries", "entry_path"))
+
+
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    parts = [
+        table(spark, folder, name).select(F.lit(name).alias("rec_table"), F.col("row_id").alias("rec_id"), F.col(column).alias("value"))
+        for name, column in NAMES
+    ]
+    values = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    return encoding_repair.find_garbled(values, "value", ["rec_table", "rec_id"])
+
+
 def p7_ids(spark: SparkSession, folder: str) -> DataFrame:
     return tokens.token_ids(table(spark, folder, "documents"))
 
@@ -16,5 +30,5 @@ def p8_bins(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack_documents(table(spark, folder, "documents"))
 
 
-QUERIES = {"p7_ids": p7_ids, "p8_bins": p8_bins}
+QUERIES = {"p3_found": p3_found, "p7_ids": p7_ids, "p8_bins": p8_bins}
 ORACLE_SQL: dict[str, str] = {}
