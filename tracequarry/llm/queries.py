@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracequarry.llm import encoding_repair, packing, tokens
+from tracequarry.llm import encoding_repair, packing, spam, tokens
 from tracequarry.runtime import table
 
 
@@ -30,5 +30,9 @@ def p8_bins(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack_documents(table(spark, folder, "documents"))
 
 
-QUERIES = {"p3_found": p3_found, "p7_ids": p7_ids, "p8_bins": p8_bins}
+def p9_found(spark: SparkSession, folder: str) -> DataFrame:
+    return spam.spam_pages(table(spark, folder, "documents"))
+
+
+QUERIES = {"p3_found": p3_found, "p7_ids": p7_ids, "p8_bins": p8_bins, "p9_found": p9_found}
 ORACLE_SQL: dict[str, str] = {}
