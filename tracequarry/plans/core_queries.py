@@ -96,3 +96,40 @@ def p6_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p4_found": p4_found, "p5_found": p5_found, "p6_found": p6_found}
+
+ORACLE_SQL = {
+    "p4_found": """
+        WITH keyed AS (
+          SELECT h.source_file, h.rule_id, h.doc_no, r.agg_count,
+                 list_transform(r.agg_fields, f -> CASE f WHEN 'computer' THEN h.computer WHEN 'target_user' THEN h.target_user WHEN 'ip_address' THEN h.ip_address END) AS vals
+          FROM agg_hits h JOIN hunt_rules r USING (rule_id)
+          WHERE r.agg_count IS NOT NULL AND r.agg_fields IS NOT NULL),
+        counted AS (
+          SELECT source_file, rule_id, agg_count, array_to_string(vals, '|') AS key_text, count(DISTINCT doc_no) AS n
+          FROM keyed WHERE len(list_filter(vals, v -> v IS NULL)) = 0 GROUP BY ALL),
+        judged AS (
+          SELECT *, regexp_extract(agg_count, '^\\s*(>=|<=|==|=|>|<)?\\s*(\\d+)\\s*$', 1) AS op,
+                 CAST(regexp_extract(agg_count, '^\\s*(>=|<=|==|=|>|<)?\\s*(\\d+)\\s*$', 2) AS BIGINT) AS k FROM counted)
+        SELECT source_file, rule_id, key_text FROM judged
+        WHERE CASE op WHEN '>=' THEN n >= k WHEN '<=' THEN n <= k WHEN '>' THEN n > k WHEN '<' THEN n < k ELSE n = k END
+    """,
+    "p6_found": """
+        WITH RECURSIVE latest AS (
+          SELECT volume_id, entry_id, arg_max(struct_pack(b := base_entry_id, n := file_name), (collected_at, row_id)) AS r
+          FROM mft_entries GROUP BY ALL),
+        nodes AS (
+          SELECT l.volume_id, l.entry_id, coalesce(r.n, '') AS name,
+                 CASE WHEN r.b <> l.entry_id AND p.entry_id IS NOT NULL THEN r.b END AS parent
+          FROM latest l LEFT JOIN (SELECT volume_id, entry_id FROM latest) p ON p.volume_id = l.volume_id AND p.entry_id = l.r.b),
+        walk AS (
+          SELECT volume_id, entry_id, entry_id AS root_entry_id, 0 AS node_depth, name AS node_path, [entry_id] AS above FROM nodes WHERE parent IS NULL
+          UNION ALL
+          SELECT n.volume_id, n.entry_id, w.root_entry_id, w.node_depth + 1, w.node_path || '\\' || n.name, list_append(w.above, n.entry_id)
+          FROM walk w JOIN nodes n ON n.volume_id = w.volume_id AND n.parent = w.entry_id),
+        under AS (
+          SELECT volume_id, a AS entry_id, count(*) - 1 AS n_desc FROM (SELECT volume_id, unnest(above) AS a FROM walk) GROUP BY ALL)
+        SELECT n.volume_id, n.entry_id, coalesce(w.root_entry_id, -1) AS root_entry_id, CAST(coalesce(w.node_depth, -1) AS INTEGER) AS node_depth,
+               CAST(coalesce(u.n_desc, -1) AS INTEGER) AS n_desc, coalesce(w.node_path, '') AS node_path
+        FROM nodes n LEFT JOIN walk w USING (volume_id, entry_id) LEFT JOIN under u USING (volume_id, entry_id)
+    """,
+}
