@@ -33,7 +33,8 @@ PROSE_SHARE = 0.36
 #: Robust z-scores from which a slope, residual or divergence is extreme.
 EXTREME_CURVE, EXTREME_DIVERGENCE = 4.0, 2.0
 #: Share of a paragraph's words that its three most frequent keywords must have for its sentences to count as stuffed.
-DOMINANCE = 0.31
+#: (The second value is for texts without blanks between words, whose stretches repeat more.)
+DOMINANCE, DOMINANCE_UNSPACED = 0.34, 0.42
 #: Share of a language's documents from which a core word is never a keyword.
 FUNCTION_SHARE = 0.5
 #: Part of a page that must be keywords, links or tags.
@@ -175,8 +176,9 @@ class Judge:
                         repeated.update(fold(w) for w in _WORD.findall(_HTML.sub(" ", bare)))
             n = sum(said.values())
             top = sorted((c for w, c in said.items() if c >= 3 and len(w) > 1 and w not in self.function), reverse=True)[:3]
+            unspaced = 3 * sum(1 for ch in paragraph if "\u3040" <= ch <= "\u9fff") > len(paragraph)
             # sentences that only carry a few keywords, over and over
-            sizes["stuffed" if n >= 12 and sum(top) >= DOMINANCE * n else "prose"] += prose
+            sizes["stuffed" if n >= 12 and sum(top) >= (DOMINANCE_UNSPACED if unspaced else DOMINANCE) * n else "prose"] += prose
         total = sum(sizes.values())
         if not total:
             return 0.0
