@@ -101,12 +101,12 @@ ORACLE_SQL = {
     "p4_found": """
         WITH keyed AS (
           SELECT h.source_file, h.rule_id, h.doc_no, r.agg_count,
-                 list_transform(r.agg_fields, f -> CASE f WHEN 'computer' THEN h.computer WHEN 'target_user' THEN h.target_user WHEN 'ip_address' THEN h.ip_address END) AS vals
+                 list_transform(r.agg_fields, lambda f: CASE f WHEN 'computer' THEN h.computer WHEN 'target_user' THEN h.target_user WHEN 'ip_address' THEN h.ip_address END) AS vals
           FROM agg_hits h JOIN hunt_rules r USING (rule_id)
           WHERE r.agg_count IS NOT NULL AND r.agg_fields IS NOT NULL),
         counted AS (
           SELECT source_file, rule_id, agg_count, array_to_string(vals, '|') AS key_text, count(DISTINCT doc_no) AS n
-          FROM keyed WHERE len(list_filter(vals, v -> v IS NULL)) = 0 GROUP BY ALL),
+          FROM keyed WHERE len(list_filter(vals, lambda v: v IS NULL)) = 0 GROUP BY ALL),
         judged AS (
           SELECT *, regexp_extract(agg_count, '^\\s*(>=|<=|==|=|>|<)?\\s*(\\d+)\\s*$', 1) AS op,
                  CAST(regexp_extract(agg_count, '^\\s*(>=|<=|==|=|>|<)?\\s*(\\d+)\\s*$', 2) AS BIGINT) AS k FROM counted)
