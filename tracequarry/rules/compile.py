@@ -139,7 +139,7 @@ class Compiler:
         at = lambda p: f"{prefix}.{p}" if prefix else p
         match node:
             case And(items):
-                return reduce(lambda a, b: a & b, (self._node(x, prefix) for x in items), F.lit(True)) if not items else reduce(lambda a, b: a & b, [self._node(x, prefix) for x in items])
+                return reduce(lambda a, b: a & b, [self._node(x, prefix) for x in items]) if items else F.lit(True)
             case Or(items):
                 exact = _exact_list(items)
                 if exact is not None:
