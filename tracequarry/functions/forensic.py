@@ -26,7 +26,7 @@ def rfc3339(ts: Column) -> Column:
 
 def filetime_micros(ft: Column) -> Column:
     """FILETIME as ISO text with microseconds; null for null, 0 and negative."""
-    return F.when(ft > 0, rfc3339(F.timestamp_micros(F.floor((ft - EPOCH_TICKS) / 10).cast("bigint"))))
+    return F.when(ft > 0, rfc3339(F.timestamp_micros(F.floor((ft - EPOCH_TICKS).cast("decimal(20,0)") / 10).cast("bigint"))))
 
 
 def filetime_seconds(ft: Column) -> Column:
@@ -77,7 +77,7 @@ def sha1_of_file_id(file_id: Column) -> Column:
 def clean_path(path: Column) -> Column:
     """Without ``\\??\\``, and with ``SYSVOL\\`` as ``C:\\``."""
     bare = F.regexp_replace(path, r"^\\\?\?\\", "")
-    return F.regexp_replace(bare, r"^SYSVOL\\", r"C:\\\\")
+    return F.regexp_replace(bare, r"^SYSVOL\\", r"C:\\")
 
 
 def last_path_part(path: Column) -> Column:
