@@ -156,8 +156,8 @@ def _coin(v: Column, salt: int) -> Column:
     return F.pmod(F.xxhash64(v, F.lit(salt)), F.lit(2)) == 1
 
 
-def _rake(state: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(records of raked leaves, remaining state), from one pass over the links."""
+def _rake(state: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(records of raked leaves, results of roots without children left, remaining state)."""
     gains = (
         state.where(F.col("p").isNotNull())
         .groupBy("g", F.col("p").alias("v"))
@@ -165,10 +165,14 @@ def _rake(state: DataFrame) -> tuple[DataFrame, DataFrame]:
     )
     marked = cut_lineage(state.join(gains, ["g", "v"], "left"))
     leaf = F.col("kids").isNull() & F.col("p").isNotNull()
+    alone = F.col("kids").isNull() & F.col("p").isNull()
+    done = marked.where(alone).select(
+        "g", "v", F.col("v").alias("root"), F.lit(0).cast("bigint").alias("depth"), F.col("acc").alias("n_desc"), F.when(~F.col("cyc"), F.col("lab")).alias("path"), "cyc"
+    )
     raked = marked.where(leaf).drop("kids")
     added = raked.groupBy("g", F.col("p").alias("v")).agg(F.sum(F.col("acc") + 1 + F.col("carry")).alias("more"))
-    kept = marked.where(~leaf).drop("kids").join(added, ["g", "v"], "left")
-    return raked.withColumn("child", F.lit(None).cast("bigint")).withColumn("carried", F.lit(None).cast("bigint")), kept.select(
+    kept = marked.where(~leaf & ~alone).drop("kids").join(added, ["g", "v"], "left")
+    return raked.withColumn("child", F.lit(None).cast("bigint")).withColumn("carried", F.lit(None).cast("bigint")), done, kept.select(
         "g", "v", "p", "w", "lab", (F.col("acc") + F.coalesce("more", F.lit(0))).alias("acc"), "carry", "cyc"
     )
 
@@ -231,8 +235,10 @@ def solve(state: DataFrame, cap: int = CAP, max_rounds: int = 200) -> DataFrame:
     linked = F.col("there").isNotNull() & (F.col("p") != F.col("v"))
     active = cut_lineage(active.withColumn("p", F.when(linked, F.col("p"))).select(*[c.split()[0] for c in _STATE.split(", ")]))
     records: list[DataFrame] = []
+    finished: list[DataFrame] = []
     for salt in range(max_rounds):
-        raked, active = _rake(active)
+        raked, done, active = _rake(active)
+        finished.append(done)
         active = cut_lineage(active)
         spliced, active = _compress(active, salt)
         active = cut_lineage(active)
@@ -241,7 +247,10 @@ def solve(state: DataFrame, cap: int = CAP, max_rounds: int = 200) -> DataFrame:
             break
     else:
         raise RuntimeError(f"contraction did not end in {max_rounds} rounds")
-    known = cut_lineage(solve_locally(active))
+    known = solve_locally(active)
+    for done in finished:
+        known = known.unionByName(done)
+    known = cut_lineage(known)
     for r in reversed(records):
         known = cut_lineage(known.unionByName(_replay(known, r)))
     return small.unionByName(known)
