@@ -257,8 +257,7 @@ def relation_table(rows: DataFrame, graph: SchemaGraph, path: str) -> DataFrame:
     keep = rows.where(F.col("arr_path") == path).select("rec_id", "ordinals", "parent_ordinals", "row_json")
     if not columns:
         return keep.drop("row_json")
-    schema = ", ".join(f"`{c.replace('`', '``')}` {t}" for c, t in sorted(columns.items()))
-    parsed = keep.withColumn("__row", F.from_json("row_json", schema))
+    parsed = keep.withColumn("__row", F.from_json("row_json", "map<string,string>"))
     names = {c.lower() for c in ("rec_id", "ordinals", "parent_ordinals")}
     out, taken = [], set(names)
     for c in sorted(columns):
@@ -266,5 +265,5 @@ def relation_table(rows: DataFrame, graph: SchemaGraph, path: str) -> DataFrame:
         while alias.lower() in taken:  # names that clash with the keys or differ only in letter case
             alias += "_"
         taken.add(alias.lower())
-        out.append(F.col("__row").getField(c).alias(alias))
+        out.append(F.element_at("__row", c).try_cast(columns[c]).alias(alias))
     return parsed.select("rec_id", "ordinals", "parent_ordinals", *out)
