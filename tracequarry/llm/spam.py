@@ -236,7 +236,7 @@ def judged_pages(documents: DataFrame, key: str = "doc_id", text: str = "text",
     """Every page with text: its curve, its z-scores against comparable prose and the verdict ``spam``.
 
     Null, empty and blank texts give no row and are no spam; repeated texts are judged
-    alike; the language tag is only used to learn core words, so wrong or missing tags do
+    alike, and repeated rows of one key give one row; the language tag is only used to learn core words, so wrong or missing tags do
     no harm; an empty table gives no rows.
     """
     core = core_words(documents, text, language)
