@@ -30,7 +30,7 @@ def container_value(text: Column, container: Container, key: str) -> Column:
     quoted = lambda s: "\\Q" + s + "\\E"
     items = F.split(text, quoted(container.delimiter)) if container.delimiter else F.array(text)
     if container.trim:
-        items = F.transform(items, F.trim)
+        items = F.transform(items, lambda x: F.trim(x))
     hit = F.filter(items, lambda x: x.startswith(key + container.separator))
     return F.when(F.size(hit) > 0, F.substring(hit[0], len(key + container.separator) + 1, F.length(hit[0])))
 

@@ -24,7 +24,7 @@ def filetime_text(ft: int) -> str | None:
 def _fix_up(record: bytearray) -> bool:
     """Puts back the two bytes at each sector's end; False when they do not fit."""
     at, count = struct.unpack_from("<HH", record, 4)
-    if count < 1 or at + 2 * count > len(record):
+    if count < 1 or count - 1 > len(record) // SECTOR or at + 2 * count > len(record):
         return False
     mark = record[at : at + 2]
     for i in range(1, count):
