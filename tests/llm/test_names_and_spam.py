@@ -105,5 +105,22 @@ def test_spam_pages(spark):
     assert got == [1000, 1001, 1002, 1003]
 
 
+def test_spam_of_core_words_is_found(spark):
+    random.seed(9)
+    good = [" ".join(PROSE.format(*random.sample(NOUNS, 2)) for _ in range(random.randint(2, 3))) for _ in range(200)]
+    bad = [" | ".join(random.choice(["cache table", "cache driver", "top cache", "cache ledger"]) for _ in range(60)) for _ in range(4)]
+    bad.append(", ".join(random.choice(["timeline", "timeline script", "cheap timeline"]) for _ in range(90)))
+    df = spark.createDataFrame(list(enumerate(good + bad)), "doc_id bigint, text string").selectExpr("*", "'en' AS lang")
+    core = spam.core_words(df)["en"]
+    assert {"the", "was", "disk"} <= set(core) and not {"cache", "timeline"} & set(core)
+    assert sorted(r[0] for r in spam.spam_pages(df).collect()) == [200, 201, 202, 203, 204]
+
+
+def test_high_core_share_is_no_verdict():
+    judge = spam.Judge({"en": {"the": 0.9, "was": 0.6, "hive": 0.4}})
+    _, _, share, _, part = judge.measure(" | ".join(["hive crack", "top hive", "hive hive"] * 20))
+    assert share >= spam.PROSE_SHARE and part > spam.GREATER_PART
+
+
 def test_spam_of_empty_table(spark):
     assert spam.spam_pages(spark.createDataFrame([], "doc_id bigint, text string, lang string")).collect() == []

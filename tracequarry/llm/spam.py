@@ -1,14 +1,16 @@
 """Keyword-stuffed and link-list pages (problem 9).
 
 1. Over all documents the core words of each language's prose are found: words that a
-   third of its documents use and other languages do not.
+   third of its documents use and other languages do not, without the corpus's subject
+   words, which some pages repeat far beyond what sentences do.
 2. For every page the terms are counted. SQL windows over the frequency spectrum give each
    term its rank; a weighted least-squares fit of log frequency on log rank gives the
    curve's slope and residual, and the share of core words its divergence from prose.
 3. Pages are compared with those of the same language and of comparable length: an extreme
    slope, residual or divergence (robust z-score) flags a page.
-4. Of the flagged pages an exact check measures which part of the page is keywords, links
-   or tags rather than sentences or technical lists.
+4. An exact check measures which part of the page is keywords, links or tags rather than
+   sentences or technical lists. It is made for every page, as a high share of core words
+   proves no sentences; pages it finds are no prose for others to be compared with.
 """
 
 from __future__ import annotations
@@ -28,8 +30,12 @@ from tracequarry.runtime import cut_lineage
 CORE_SHARE, CORE_RATIO = 0.33, 3.0
 #: Least documents of a language for core words of its own.
 LANGUAGE_DOCUMENTS = 20
-#: Share of core words among a page's words from which its greater part is certainly sentences.
+#: Share of core words among a page's words from which others are compared with it.
 PROSE_SHARE = 0.36
+#: A word that makes such a share of a page of so many words at least, in such a share of its documents, is a subject word.
+SUBJECT_SHARE, SUBJECT_WORDS, SUBJECT_DOCUMENTS = 0.15, 20, 0.005
+#: Most words a task counts before it passes its counts on.
+HELD_WORDS = 200_000
 #: Robust z-scores from which a slope, residual or divergence is extreme.
 EXTREME_CURVE, EXTREME_DIVERGENCE = 4.0, 2.0
 #: Share of a paragraph's words that its three most frequent keywords must have for its sentences to count as stuffed.
@@ -57,6 +63,32 @@ _TECHNICAL = re.compile(
 _LOOKALIKES = str.maketrans("аеорсухіјѕԁһӏԛԝΑΒΕΖΗΙΚΜΝΟΡΤΥΧ013$@", "aeopcyxijsdhlqwabezhikmnoptyxolesa")
 
 
+def _count_words(batches: Iterable) -> Iterator:
+    """For each language and word of (language, text) rows: the documents that use it and those it is heavy in."""
+    import pyarrow as pa
+
+    used: dict[str, Counter] = {}
+    heavy: Counter = Counter()
+
+    def flush():
+        rows = [(lang, w, n, heavy[lang, w]) for lang, counts in used.items() for w, n in counts.items()]
+        columns = list(zip(*rows)) or [(), (), (), ()]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.string(), pa.int64(), pa.int64()))], names=["l", "w", "n", "heavy"])
+
+    for b in batches:
+        for lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            counts = Counter(_WORD.findall(text.lower()))
+            used.setdefault(lang, Counter()).update(counts.keys())
+            n = sum(counts.values())
+            if n >= SUBJECT_WORDS:
+                heavy.update((lang, w) for w, c in counts.items() if c >= SUBJECT_SHARE * n)
+            if sum(map(len, used.values())) >= HELD_WORDS:
+                yield flush()
+                used.clear()
+                heavy.clear()
+    yield flush()
+
+
 def core_words(documents: DataFrame, text: str = "text", language: str = "lang") -> dict[str, dict[str, float]]:
     """Each language's core words with the share of its documents that use them.
 
@@ -68,20 +100,23 @@ def core_words(documents: DataFrame, text: str = "text", language: str = "lang")
     sizes = {k: v for k, v in sizes.items() if k not in ("", "und")}
     if not sizes:
         return {}
-    words = rows.where(tag.isin(*sizes)).select(tag.alias("l"), F.explode(F.array_distinct(F.split(F.lower(F.col(text)), r"[^\p{L}]+"))).alias("w")).where(F.col("w") != "")
+    words = rows.where(tag.isin(*sizes)).select(tag.alias("l"), F.col(text).alias("t")).mapInArrow(_count_words, "l string, w string, n bigint, heavy bigint")
     least = F.lit(0)
     for k, v in sizes.items():
         least = F.when(F.col("l") == k, F.lit(CORE_SHARE * v / CORE_RATIO)).otherwise(least)
-    common = words.groupBy("l", "w").agg(F.count("*").alias("n")).where(F.col("n") >= least).collect()
+    common = words.groupBy("l", "w").agg(F.sum("n").alias("n"), F.sum("heavy").alias("heavy")).where(F.col("n") >= least).collect()
     shares: dict[str, dict[str, float]] = {}
-    for lang, w, n in common:
+    subjects: set[tuple[str, str]] = set()
+    for lang, w, n, heavy in common:
         shares.setdefault(w, {})[lang] = n / sizes[lang]
+        if n < FUNCTION_SHARE * sizes[lang] and heavy >= SUBJECT_DOCUMENTS * n:
+            subjects.add((lang, w))
     out: dict[str, dict[str, float]] = {k: {} for k in sizes}
     for w, by in shares.items():
         for lang, share in by.items():
             rest = sorted(by.get(o, 0.0) for o in sizes if o != lang)
             typical = rest[len(rest) // 2] if rest else 0.0
-            if share >= CORE_SHARE and share >= CORE_RATIO * typical:
+            if share >= CORE_SHARE and share >= CORE_RATIO * typical and (lang, w) not in subjects:
                 out[lang][w] = share
     return {k: v for k, v in out.items() if v}
 
@@ -134,7 +169,7 @@ class Judge:
         share = core[best] / total if total else 0.0
         spectrum = sorted(Counter(counts.values()).items(), reverse=True)
         lang = self.languages[best] if self.languages and core[best] else ""
-        part = 0.0 if share >= PROSE_SHARE or total < 8 else self.spam_part(text, counts)
+        part = 0.0 if total < 8 else self.spam_part(text, counts)
         return lang, total, share, spectrum, part
 
     def _kind(self, line: str) -> str:
@@ -150,7 +185,7 @@ class Judge:
             seen = Counter(words)
             core = max(self.core_counts(seen))
             kinds = max(self.core_counts(Counter(seen.keys())))
-            if core >= 0.2 * len(words) and (kinds >= 2 or not self.function.isdisjoint(seen)) and max(seen.values()) <= max(2, 0.2 * len(words)):
+            if core >= 0.2 * len(words) and (kinds >= 2 or not self.function.isdisjoint(seen)) and max((c for w, c in seen.items() if w not in self.function), default=0) <= max(2, 0.2 * len(words)):
                 return "prose"
         return "link" if links or tags else "keyword"
 
@@ -244,16 +279,14 @@ def judged_pages(documents: DataFrame, key: str = "doc_id", text: str = "text",
     divergence = -F.log(F.col("core_share") + 0.02)
     pages = pages.withColumn("divergence", divergence).withColumn("bucket", F.floor(F.log2(F.greatest(F.col("n_terms"), F.lit(1)))).cast("int"))
     measures = ("slope", "residual", "divergence")
-    prose = pages.where(F.col("core_share") >= PROSE_SHARE)
+    prose = pages.where((F.col("core_share") >= PROSE_SHARE) & (F.col("spam_part") <= GREATER_PART))
     comparable = prose.groupBy("language", "bucket").agg(*[F.percentile_approx(c, [0.25, 0.5, 0.75], 1000).alias(f"q_{c}") for c in measures])
     joined = pages.join(comparable, ["language", "bucket"], "left")
     for c in measures:
         spread = F.greatest((F.col(f"q_{c}")[2] - F.col(f"q_{c}")[0]) / 1.349, F.lit(0.02))
         joined = joined.withColumn(f"z_{c}", (F.col(c) - F.col(f"q_{c}")[1]) / spread)
-    # without comparable prose every page that is no clear prose itself is looked at
-    extreme = F.coalesce(
-        (F.abs("z_slope") >= EXTREME_CURVE) | (F.abs("z_residual") >= EXTREME_CURVE) | (F.col("z_divergence") >= EXTREME_DIVERGENCE), F.col("core_share") < PROSE_SHARE
-    )
+    # without comparable prose every page is looked at
+    extreme = F.coalesce((F.abs("z_slope") >= EXTREME_CURVE) | (F.abs("z_residual") >= EXTREME_CURVE) | (F.col("z_divergence") >= EXTREME_DIVERGENCE), F.lit(True))
     return joined.select(
         key, "language", "n_terms", "core_share", "slope", "residual", "z_slope", "z_residual", "z_divergence", "spam_part", extreme.alias("flagged"),
         (extreme & (F.col("spam_part") > GREATER_PART)).alias("spam"),
