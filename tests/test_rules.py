@@ -199,3 +199,11 @@ def test_search_and_times(spark):
     assert ids(search(df, timestamp="t", start="2024-01-01", end="2024-01-02")) == [1]
     assert str(df.select(parse_timestamp(F.col("t"))).first()[0]) == "2024-01-01 00:00:00.123456"
     assert df.where(in_range(F.lit("2024-01-01").cast("timestamp"), "2024-01-01", None)).count() == 0
+
+
+def test_all_events_are_mapped(spark, data):
+    from tracequarry.plans import catalogue
+    from tracequarry.runtime import table
+
+    got = catalogue.queries()["mapper_container_json_all"](spark, data)
+    assert got.columns == ["event_id", "k", "kind", "usr"] and got.count() == table(spark, data, "events").count()

@@ -119,10 +119,18 @@ def search_text_tests(spark, folder):
     return d.where(c.predicate(node)).select("doc_id", shown("contains", "wiki").alias("has_wiki"), shown("startswith", "forum").alias("is_forum"), shown("endswith", ".EXAMPLE", True).alias("is_example"))
 
 
+_EVENT_FIELDS = [FieldSpec("k", "props", "k", None, Container("props", "json")), FieldSpec("kind", "event_type", "kind"), FieldSpec("usr", "user_id", "usr", "int")]
+
+
 @query("SELECT event_id, json_extract_string(props, '$.k') AS k, event_type AS kind, CAST(user_id AS VARCHAR) AS usr FROM events WHERE user_id = 11")
 def mapper_container_json(spark, folder):
-    specs = [FieldSpec("k", "props", "k", None, Container("props", "json")), FieldSpec("kind", "event_type", "kind"), FieldSpec("usr", "user_id", "usr", "int")]
-    return map_fields(_events(spark, folder).where("user_id = 11"), specs, ["event_id"])
+    return map_fields(_events(spark, folder).where("user_id = 11"), _EVENT_FIELDS, ["event_id"])
+
+
+@query("SELECT event_id, json_extract_string(props, '$.k') AS k, event_type AS kind, CAST(user_id AS VARCHAR) AS usr FROM events")
+def mapper_container_json_all(spark, folder):
+    """The mapping of mapper_container_json over every user's events."""
+    return map_fields(_events(spark, folder), _EVENT_FIELDS, ["event_id"])
 
 
 @query("SELECT doc_id, split_part(list_filter(string_split(split_part(page_url, '//', 2), '/'), lambda x: starts_with(x, 'index'))[1], 'index', 2) AS after FROM documents WHERE page_url IS NOT NULL AND len(list_filter(string_split(split_part(page_url, '//', 2), '/'), lambda x: starts_with(x, 'index'))) > 0")
