@@ -64,6 +64,16 @@ def test_clean_names_are_left(names):
     assert {k for k, _ in got} <= set(truth) and len(got) >= len(dict(got)) + 1  # the repeated row comes again
 
 
+def test_every_pair_of_encodings_is_tried():
+    for text, right, wrong in (("Αρχείο", "cp1253", "cp1250"), ("Αρχείο", "iso8859-7", "cp1250"), ("Değer", "cp1254", "cp1250"), ("문서", "cp949", "cp1250")):
+        assert text in er.candidates(misread(text, [(right, wrong)])).values(), (right, wrong)
+
+
+def test_half_characters_of_every_misreading():
+    assert all(er._half_character("a" + misread("Ω", [("cp1253", wrong)])) for wrong in ("cp1252*", "cp437", "cp1251", "koi8-r"))
+    assert not er._half_character("") and not er._half_character("abc")
+
+
 def test_empty_table(spark):
     assert er.find_garbled(spark.createDataFrame([], "id bigint, name string"), "name", ["id"]).collect() == []
 
