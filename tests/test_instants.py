@@ -83,3 +83,13 @@ def test_masks_are_shared():
     texts = [f"2021-05-{1 + i % 28:02d} 10:{i % 60:02d}:00" for i in range(n)]
     micros, found = to_micros(texts, ["Europe/Berlin"] * n, [None] * n, BERLIN)
     assert found.all() and len(np.unique(micros)) > 100
+
+
+def test_filetimes_of_all_rows_are_converted(spark, data):
+    from tracequarry.plans import catalogue
+    from tracequarry.runtime import table
+
+    got = catalogue.queries()["filetime_text_all"](spark, data)
+    assert got.count() == table(spark, data, "mft_entries").count()
+    outside = got.join(table(spark, data, "mft_entries").where("file_name_created_ft <= 0"), "row_id")
+    assert outside.where("created IS NOT NULL").count() == 0

@@ -298,6 +298,13 @@ def filetime_text(spark, folder):
     return m.select("row_id", fx.filetime_micros(F.col("file_name_created_ft")).alias("created"))
 
 
+@query("""SELECT row_id, CASE WHEN ft > 0 THEN CASE WHEN year(t) > 9999 THEN '+' ELSE '' END || strftime(t, '%Y-%m-%dT%H:%M:%S.%fZ') END AS created
+  FROM (SELECT row_id, file_name_created_ft AS ft, make_timestamp(file_name_created_ft // 10 - 11644473600000000) AS t FROM mft_entries)""")
+def filetime_text_all(spark, folder):
+    """The conversion of filetime_text over all rows: null for null, 0 and negative, far dates with a sign."""
+    return table(spark, folder, "mft_entries").select("row_id", fx.filetime_micros(F.col("file_name_created_ft")).alias("created"))
+
+
 @query("""SELECT row_id, regexp_replace(regexp_replace(entry_path, '^\\\\\\?\\?\\\\', ''), '^SYSVOL\\\\', 'C:\\\\') AS path FROM shim_entries WHERE entry_path IS NOT NULL""")
 def path_rewrites(spark, folder):
     s = table(spark, folder, "shim_entries").where("entry_path IS NOT NULL")
