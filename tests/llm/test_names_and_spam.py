@@ -128,8 +128,23 @@ def test_spam_of_core_words_is_found(spark):
 
 def test_high_core_share_is_no_verdict():
     judge = spam.Judge({"en": {"the": 0.9, "was": 0.6, "hive": 0.4}})
-    _, _, share, _, part = judge.measure(" | ".join(["hive crack", "top hive", "hive hive"] * 20))
-    assert share >= spam.PROSE_SHARE and part > spam.GREATER_PART
+    page = " | ".join(["hive crack", "top hive", "hive hive"] * 20)
+    assert judge.measure(page)[2] >= spam.PROSE_SHARE and judge.spam_part(page) > spam.GREATER_PART
+
+
+def test_labels_do_not_hide_lists():
+    judge = spam.Judge({"en": {"the": 0.9, "was": 0.6, "of": 0.8}})
+    for label in ("keywords: ", "Tags: ", ""):
+        assert judge.spam_part(label + " | ".join(["best hive viewer 8.3", "free hive viewer x64", "best hive crack"] * 4)) == 1.0
+    assert judge.spam_part("title: Odd driver start\nlevel: high\ndescription: the name of the driver was wrong\nEventID: 4624") == 0.0
+
+
+def test_short_spam(spark):
+    good = [" ".join(PROSE.format(*random.sample(NOUNS, 2)) for _ in range(2)) for _ in range(60)]
+    bad = ["#hive #crack #free #best #top", "hive hive hive cheap hive"]
+    fine = ["see above", "n/a", "re: setup", "👍 done, thanks!", "trace85.pdf?"]
+    df = spark.createDataFrame(list(enumerate(good + bad + fine)), "doc_id bigint, text string").selectExpr("*", "'en' AS lang")
+    assert sorted(r[0] for r in spam.spam_pages(df).collect()) == [60, 61]
 
 
 def test_spam_of_empty_table(spark):

@@ -8,9 +8,9 @@
    curve's slope and residual, and the share of core words its divergence from prose.
 3. Pages are compared with those of the same language and of comparable length: an extreme
    slope, residual or divergence (robust z-score) flags a page.
-4. An exact check measures which part of the page is keywords, links or tags rather than
-   sentences or technical lists. It is made for every page, as a high share of core words
-   proves no sentences; pages it finds are no prose for others to be compared with.
+4. An exact check of the flagged pages measures which part is keywords, links or tags rather
+   than sentences or technical lists, as logs, indicator lists and rules have curves unlike
+   prose, too. Pages that no curve flags are never spam and are not read again.
 """
 
 from __future__ import annotations
@@ -43,6 +43,8 @@ EXTREME_CURVE, EXTREME_DIVERGENCE = 4.0, 2.0
 DOMINANCE, DOMINANCE_UNSPACED = 0.34, 0.42
 #: Share of a language's documents from which a core word is never a keyword.
 FUNCTION_SHARE = 0.5
+#: Most languages whose quantiles (some 20 rows each) are broadcast; with more the optimiser chooses the join.
+BROADCAST_LANGUAGES = 5_000
 #: Part of a page that must be keywords, links or tags.
 GREATER_PART = 0.5
 
@@ -57,8 +59,9 @@ _INVISIBLE = re.compile(r"[\u00ad\u200b-\u200f\u2060\ufeff]")
 _TECHNICAL = re.compile(
     r"[A-Za-z]:\\|\bHK[A-Z]{2}\\|\b\d{1,3}(?:\.\d{1,3}){3}\b|\b[0-9a-fA-F]{16,}\b|\b\d\d:\d\d\b|\b\d+\.\d+\.\d+\b|[{}\[]\"|\"\s*:"
     r"|\b[A-Z]{2,6}-[A-Z]+\d+\b|\b\w+\.(?:bat|exe|dll|sys|msi|ps1|scr|txt|csv|log|pdf|docx|xlsx|png|lnk|tmp|zip|html|evtx|hve|dat)\b"
-    r"|^\s*(?:- )?[A-Za-z_|]+:(?:\s|$)|^\s*- '|\b\d{4}-\d\d-\d\d\b"
+    r"|^\s*- '|\b\d{4}-\d\d-\d\d\b"
 )
+_LABEL = re.compile(r"\s*(?:- )?[A-Za-z_|]+:(?:\s+|$)")
 #: Letters that look like Latin ones.
 _LOOKALIKES = str.maketrans("аеорсухіјѕԁһӏԛԝΑΒΕΖΗΙΚΜΝΟΡΤΥΧ013$@", "aeopcyxijsdhlqwabezhikmnoptyxolesa")
 
@@ -95,16 +98,15 @@ def core_words(documents: DataFrame, text: str = "text", language: str = "lang")
     Document counts over all rows; only words that a share of ``CORE_SHARE`` uses come to
     the driver, which bounds them by the average page's vocabulary over that share."""
     rows = documents.where(F.col(text).isNotNull() & (F.trim(F.col(text)) != ""))
-    tag = F.lower(F.trim(F.coalesce(F.col(language), F.lit(""))))
-    sizes = {r[0]: r[1] for r in rows.groupBy(tag.alias("l")).count().where(F.col("count") >= LANGUAGE_DOCUMENTS).orderBy(F.desc("count")).limit(300).collect()}
-    sizes = {k: v for k, v in sizes.items() if k not in ("", "und")}
+    # the primary subtag: two or three letters, so that there are at most 26^2 + 26^3 languages
+    tag = F.regexp_extract(F.lower(F.trim(F.coalesce(F.col(language), F.lit("")))), r"^([a-z]{2,3})(?![a-z])", 1)
+    rows = rows.select(tag.alias("l"), F.col(text).alias("t")).where(~F.col("l").isin("", "und"))
+    sizes = {r[0]: r[1] for r in rows.groupBy("l").count().where(F.col("count") >= LANGUAGE_DOCUMENTS).collect()}
     if not sizes:
         return {}
-    words = rows.where(tag.isin(*sizes)).select(tag.alias("l"), F.col(text).alias("t")).mapInArrow(_count_words, "l string, w string, n bigint, heavy bigint")
-    least = F.lit(0)
-    for k, v in sizes.items():
-        least = F.when(F.col("l") == k, F.lit(CORE_SHARE * v / CORE_RATIO)).otherwise(least)
-    common = words.groupBy("l", "w").agg(F.sum("n").alias("n"), F.sum("heavy").alias("heavy")).where(F.col("n") >= least).collect()
+    words = rows.mapInArrow(_count_words, "l string, w string, n bigint, heavy bigint")
+    least = F.create_map(*[F.lit(x) for k, v in sizes.items() for x in (k, CORE_SHARE * v / CORE_RATIO)])
+    common = words.groupBy("l", "w").agg(F.sum("n").alias("n"), F.sum("heavy").alias("heavy")).where(F.col("n") >= F.element_at(least, F.col("l"))).collect()
     shares: dict[str, dict[str, float]] = {}
     subjects: set[tuple[str, str]] = set()
     for lang, w, n, heavy in common:
@@ -145,32 +147,30 @@ class Judge:
                 out[i] += n
         return out
 
-    def terms(self, text: str) -> tuple[Counter, int]:
-        """Term counts (words, links and tags as terms of their own) and the number of words."""
+    def terms(self, text: str) -> Counter:
+        """Term counts: words, and links and tags as terms of their own."""
         links = _URL.findall(text)
         bare = _URL.sub(" ", text) if links else text
         tags = _TAG.findall(bare)
         if tags:
             bare = _TAG.sub(" ", bare)
         words = Counter(_WORD.findall(bare.lower()))
-        n = sum(words.values())
         if links:
             words["\x01link"] = len(links)
         if tags:
             words["\x01tag"] = len(tags)
-        return words, n
+        return words
 
-    def measure(self, text: str) -> tuple[str, int, float, list[tuple[int, int]], float]:
-        """(language, number of terms, share of core words, spectrum, part that is spam) of a page."""
-        counts, words = self.terms(text)
+    def measure(self, text: str) -> tuple[str, int, float, list[tuple[int, int]]]:
+        """(language, number of terms, share of core words, spectrum) of a page."""
+        counts = self.terms(text)
         total = sum(counts.values())
         core = self.core_counts(counts)
         best = max(range(len(core)), key=lambda i: core[i])
         share = core[best] / total if total else 0.0
         spectrum = sorted(Counter(counts.values()).items(), reverse=True)
         lang = self.languages[best] if self.languages and core[best] else ""
-        part = 0.0 if total < 8 else self.spam_part(text, counts)
-        return lang, total, share, spectrum, part
+        return lang, total, share, spectrum
 
     def _kind(self, line: str) -> str:
         bare = _INVISIBLE.sub("", line)
@@ -178,6 +178,11 @@ class Judge:
         rest = _URL.sub(" ", bare) if links else bare
         tags = len(_TAG.findall(rest))
         rest = _HTML.sub(" ", _TAG.sub(" ", rest)) if "<" in rest or tags else rest
+        label = _LABEL.match(rest)
+        if label:  # a field of a record if it holds a value; a list or a sentence behind a label is judged by itself
+            rest = rest[label.end() :]
+            if not links and not tags and len(_WORD.findall(rest)) < 4:
+                return "technical"
         if _TECHNICAL.search(rest):
             return "technical"
         words = _WORD.findall(rest.lower())
@@ -189,8 +194,10 @@ class Judge:
                 return "prose"
         return "link" if links or tags else "keyword"
 
-    def spam_part(self, text: str, counts: Counter) -> float:
+    def spam_part(self, text: str) -> float:
         """The part of a page (by characters) that is links, tags or repeated keywords; 0 without repetition."""
+        links = len(_URL.findall(text))
+        tags = len(_TAG.findall(_URL.sub(" ", text) if links else text)) if "#" in text or "＃" in text else 0
         sizes: Counter = Counter()
         repeated: Counter = Counter()
         for paragraph in text.split("\n\n"):
@@ -217,9 +224,8 @@ class Judge:
         total = sum(sizes.values())
         if not total:
             return 0.0
-        links, tags = counts.get("\x01link", 0), counts.get("\x01tag", 0)
         n = sum(repeated.values())
-        keywords = n >= 8 and sum(c for c in repeated.values() if c >= 3) >= 0.4 * n
+        keywords = n > 0 and sum(c for c in repeated.values() if c >= 3) >= 0.4 * n
         spam = sizes["stuffed"] + (sizes["link"] if links + tags >= 3 else 0)
         if keywords or spam > sizes["keyword"]:
             spam += sizes["keyword"]
@@ -227,7 +233,7 @@ class Judge:
 
 
 def measure_pages(documents: DataFrame, core: dict[str, dict[str, float]], key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per page: key, language, n_terms, core_share, spectrum (n: frequency, m: terms of it), spam_part."""
+    """One row per page: key, language, n_terms, core_share, spectrum (n: frequency, m: terms of it)."""
     held = documents.sparkSession.sparkContext.broadcast(core)
 
     def run(batches: Iterable) -> Iterator:
@@ -238,11 +244,26 @@ def measure_pages(documents: DataFrame, core: dict[str, dict[str, float]], key:
         for b in batches:
             got = [judge.measure(t) for t in b.column(1).to_pylist()]
             spectra = pa.array([[{"n": n, "m": m} for n, m in g[3]] for g in got], kinds)
-            columns = [b.column(0), pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.int32()), pa.array([g[2] for g in got], pa.float64()), spectra, pa.array([g[4] for g in got], pa.float64())]
-            yield pa.RecordBatch.from_arrays(columns, names=[key, "language", "n_terms", "core_share", "spectrum", "spam_part"])
+            columns = [b.column(0), pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.int32()), pa.array([g[2] for g in got], pa.float64()), spectra]
+            yield pa.RecordBatch.from_arrays(columns, names=[key, "language", "n_terms", "core_share", "spectrum"])
 
     rows = documents.where(F.col(text).isNotNull() & (F.trim(F.col(text)) != "")).select(key, text)
-    return rows.mapInArrow(run, f"`{key}` {rows.schema[0].dataType.simpleString()}, language string, n_terms int, core_share double, spectrum array<struct<n:int,m:int>>, spam_part double")
+    return rows.mapInArrow(run, f"`{key}` {rows.schema[0].dataType.simpleString()}, language string, n_terms int, core_share double, spectrum array<struct<n:int,m:int>>")
+
+
+def spam_parts(texts: DataFrame, core: dict[str, dict[str, float]], key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``key`` and spam_part of every page of ``texts``."""
+    held = texts.sparkSession.sparkContext.broadcast(core)
+
+    def run(batches: Iterable) -> Iterator:
+        import pyarrow as pa
+
+        judge = Judge(held.value)
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([judge.spam_part(t) for t in b.column(1).to_pylist()], pa.float64())], names=[key, "spam_part"])
+
+    rows = texts.select(key, text)
+    return rows.mapInArrow(run, f"`{key}` {rows.schema[0].dataType.simpleString()}, spam_part double")
 
 
 def rank_curves(pages: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -250,49 +271,63 @@ def rank_curves(pages: DataFrame, key: str = "doc_id") -> DataFrame:
 
     Terms of one frequency share a stretch of ranks; a window over the frequencies gives its
     ends, and the fit weighs the stretch's middle (in logarithms) by the number of terms."""
-    points = pages.select(key, "language", "n_terms", "core_share", "spam_part", F.explode("spectrum").alias("s"))
+    points = pages.select(key, "language", "n_terms", "core_share", F.explode("spectrum").alias("s"))
     w = W.partitionBy(key).orderBy(F.desc("s.n")).rowsBetween(W.unboundedPreceding, 0)
     ranked = points.withColumn("last", F.sum("s.m").over(w)).withColumn("first", F.col("last") - F.col("s.m") + 1)
     m = F.col("s.m").cast("double")
     x = (F.log("first") + F.log("last")) / 2
     y = F.log(F.col("s.n"))
     sums = ranked.groupBy(key).agg(
-        *[F.first(c).alias(c) for c in ("language", "n_terms", "core_share", "spam_part")],
+        *[F.first(c).alias(c) for c in ("language", "n_terms", "core_share")],
         F.sum(m).alias("sw"), F.sum(m * x).alias("sx"), F.sum(m * y).alias("sy"), F.sum(m * x * x).alias("sxx"), F.sum(m * x * y).alias("sxy"), F.sum(m * y * y).alias("syy"),
     )
     vx, vy = F.col("sxx") - F.col("sx") * F.col("sx") / F.col("sw"), F.col("syy") - F.col("sy") * F.col("sy") / F.col("sw")
     cxy = F.col("sxy") - F.col("sx") * F.col("sy") / F.col("sw")
     slope = F.when(vx > 1e-9, cxy / vx).otherwise(0.0)
     rest = F.greatest(vy - F.when(vx > 1e-9, cxy * cxy / vx).otherwise(0.0), F.lit(0.0))
-    return sums.select(key, "language", "n_terms", "core_share", "spam_part", slope.alias("slope"), F.sqrt(rest / F.col("sw")).alias("residual"))
+    return sums.select(key, "language", "n_terms", "core_share", slope.alias("slope"), F.sqrt(rest / F.col("sw")).alias("residual"))
 
 
-def judged_pages(documents: DataFrame, key: str = "doc_id", text: str = "text", language: str = "lang") -> DataFrame:
-    """Every page with text: its curve, its z-scores against comparable prose and the verdict ``spam``.
+def flagged_pages(documents: DataFrame, core: dict[str, dict[str, float]], key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Every page with text: its curve, its z-scores against comparable prose and whether one is extreme (``flagged``).
 
-    Null, empty and blank texts give no row and are no spam; repeated texts are judged
-    alike, and repeated rows of one key give one row; the language tag is only used to learn core words, so wrong or missing tags do
-    no harm; an empty table gives no rows.
-    """
-    core = core_words(documents, text, language)
+    Prose is compared by language and length (powers of two of the number of terms). A page
+    without a known language, or in a language without prose of its length, is compared with
+    the prose of all languages; without any prose of that length it is flagged."""
     pages = cut_lineage(rank_curves(measure_pages(documents, core, key, text), key))
-    divergence = -F.log(F.col("core_share") + 0.02)
-    pages = pages.withColumn("divergence", divergence).withColumn("bucket", F.floor(F.log2(F.greatest(F.col("n_terms"), F.lit(1)))).cast("int"))
+    pages = pages.withColumn("divergence", -F.log(F.col("core_share") + 0.02)).withColumn("bucket", F.floor(F.log2(F.greatest(F.col("n_terms"), F.lit(1)))).cast("int"))
     measures = ("slope", "residual", "divergence")
-    prose = pages.where((F.col("core_share") >= PROSE_SHARE) & (F.col("spam_part") <= GREATER_PART))
-    comparable = prose.groupBy("language", "bucket").agg(*[F.percentile_approx(c, [0.25, 0.5, 0.75], 1000).alias(f"q_{c}") for c in measures])
-    joined = pages.join(comparable, ["language", "bucket"], "left")
+    prose = pages.where(F.col("core_share") >= PROSE_SHARE)
+    # one row per known language (see core_words for their number) and power of two: small whatever the number of pages
+    own = prose.groupBy("language", "bucket").agg(*[F.percentile_approx(c, [0.25, 0.5, 0.75], 1000).alias(f"q_{c}") for c in measures])
+    pooled = prose.groupBy("bucket").agg(*[F.percentile_approx(c, [0.25, 0.5, 0.75], 1000).alias(f"p_{c}") for c in measures])
+    if len(core) <= BROADCAST_LANGUAGES:
+        own = F.broadcast(own)
+    joined = pages.join(own, ["language", "bucket"], "left").join(F.broadcast(pooled), "bucket", "left")
     for c in measures:
-        spread = F.greatest((F.col(f"q_{c}")[2] - F.col(f"q_{c}")[0]) / 1.349, F.lit(0.02))
-        joined = joined.withColumn(f"z_{c}", (F.col(c) - F.col(f"q_{c}")[1]) / spread)
-    # without comparable prose every page is looked at
+        q = F.coalesce(f"q_{c}", f"p_{c}")
+        spread = F.greatest((q[2] - q[0]) / 1.349, F.lit(0.02))
+        joined = joined.withColumn(f"z_{c}", (F.col(c) - q[1]) / spread)
     extreme = F.coalesce((F.abs("z_slope") >= EXTREME_CURVE) | (F.abs("z_residual") >= EXTREME_CURVE) | (F.col("z_divergence") >= EXTREME_DIVERGENCE), F.lit(True))
-    return joined.select(
-        key, "language", "n_terms", "core_share", "slope", "residual", "z_slope", "z_residual", "z_divergence", "spam_part", extreme.alias("flagged"),
-        (extreme & (F.col("spam_part") > GREATER_PART)).alias("spam"),
-    )
+    return joined.select(key, "language", "n_terms", "core_share", "slope", "residual", "z_slope", "z_residual", "z_divergence", extreme.alias("flagged"))
+
+
+def judged_pages(documents: DataFrame, key: str = "doc_id", text: str = "text", language: str = "lang") -> DataFrame:
+    """The flagged pages (see :func:`flagged_pages`), with their ``spam_part`` and the verdict ``spam``.
+
+    Null, empty and blank texts give no row and are no spam; repeated texts are judged
+    alike, and repeated rows of one key give one row; the language tag is only used to learn
+    core words, so wrong or missing tags do no harm; in a language of fewer than
+    ``LANGUAGE_DOCUMENTS`` pages no line can be known as a sentence, so there repetition and
+    the curve alone decide; an empty table gives no rows.
+    """
+    core = core_words(documents, text, language)
+    flagged = flagged_pages(documents, core, key, text).where("flagged")
+    texts = documents.where(F.col(text).isNotNull() & (F.trim(F.col(text)) != "")).select(key, text).join(flagged.select(key), key, "left_semi")
+    parts = spam_parts(texts, core, key, text).groupBy(key).agg(F.max("spam_part").alias("spam_part"))
+    return flagged.dropDuplicates([key]).join(parts, key).withColumn("spam", F.col("spam_part") > GREATER_PART)
 
 
 def spam_pages(documents: DataFrame, key: str = "doc_id", text: str = "text", language: str = "lang") -> DataFrame:
-    """The keys of spam pages."""
+    """The keys of spam pages; see :func:`judged_pages` for the cases."""
     return judged_pages(documents, key, text, language).where("spam").select(key)
