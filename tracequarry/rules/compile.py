@@ -62,6 +62,15 @@ class TypedFields:
             return column.isNotNull()
         return F.ltrim(column.cast("string")).startswith("{") if isinstance(kind, T.StringType) else F.lit(False)
 
+    def pushable(self, path: str) -> T.DataType | None:
+        """The type of a plain column, on which scans can filter; None for other fields."""
+        found = self._find(path)
+        if found is None or not isinstance(found[1], (T.StringType, T.NumericType)):
+            return None
+        names = {f.name: f.dataType for f in self.schema.fields}
+        at = path if path in names else path.split(".")[0]
+        return found[1] if path in names or isinstance(names[at], T.StructType) else None
+
 
 class VariantFields:
     """Fields of documents held in one VARIANT column (see :func:`documents_from_json`)."""
@@ -81,12 +90,68 @@ class VariantFields:
     def is_object(self, path: str) -> Column:
         return F.try_variant_get(F.col(f"`{self.column}`"), self._path(path), "map<string,variant>").isNotNull()
 
+    def pushable(self, path: str) -> None:
+        return None
+
+
+class MappedFields:
+    """Fields under the names of a mapping: ``from`` names are read at their ``to`` paths.
+
+    A field with a cast is that value as text of the number it begins with; one with a
+    container is the member ``to`` of the payload. Other names are looked up as they are."""
+
+    def __init__(self, base: TypedFields | VariantFields, specs):
+        self.base = base
+        self.specs = {s.source: s for s in specs if s.container or s.cast or s.source != s.to}
+
+    def value(self, path: str) -> tuple[Column, T.DataType]:
+        from tracequarry.rules.mapper import cast_value, container_value
+
+        spec = self.specs.get(path)
+        if spec is None:
+            return self.base.value(path)
+        column, kind = self.base.value(spec.container.field if spec.container else spec.to)
+        variant = isinstance(kind, T.VariantType)
+        if spec.container:
+            text = container_value(column.getField("s") if variant else column.cast("string"), spec.container, spec.to)
+            return text, T.StringType()
+        if spec.cast is None or not (variant or isinstance(kind, T.StringType)):
+            return (column.cast("string"), T.StringType()) if spec.cast == "str" and not variant else (column, kind)
+        if variant:
+            return F.struct(cast_value(column.getField("s"), spec.cast).alias("s"), column.getField("a").alias("a")), kind
+        return cast_value(column, spec.cast), kind
+
+    def inside(self, path: str) -> str:
+        """Where an object under a mapped name really is."""
+        spec = self.specs.get(path)
+        return spec.to if spec is not None and not spec.container else path
+
+    def is_object(self, path: str) -> Column:
+        return self.base.is_object(self.inside(path))
+
+    def pushable(self, path: str) -> T.DataType | None:
+        spec = self.specs.get(path)
+        return self.base.pushable(path if spec is None else spec.to) if spec is None or not (spec.container or spec.cast) else None
+
 
 def documents_from_json(df: DataFrame, column: str, out: str = "data") -> DataFrame:
-    """``df`` with its JSON text parsed into a VARIANT column; invalid text gives null."""
+    """``df`` with its JSON text parsed into a VARIANT column; invalid text gives null.
+
+    Of a name that an object repeats the last value counts. As that is a setting of the
+    session (``spark.sql.variant.allowDuplicateKeys``), it is switched on here."""
+    df.sparkSession.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
     return df.withColumn(out, F.try_parse_json(F.col(column)))
 
 
+def balanced(tests: list[Column], how: str) -> Column:
+    """All tests under one operator (``and``, ``or``) as a tree of logarithmic depth."""
+    if len(tests) == 1:
+        return tests[0]
+    half = len(tests) // 2
+    a, b = balanced(tests[:half], how), balanced(tests[half:], how)
+    return a & b if how == "and" else a | b
+
+
 class Compiler:
     """Compiles expressions against one way of finding fields."""
 
@@ -139,13 +204,12 @@ class Compiler:
         at = lambda p: f"{prefix}.{p}" if prefix else p
         match node:
             case And(items):
-                return reduce(lambda a, b: a & b, [self._node(x, prefix) for x in items]) if items else F.lit(True)
+                return balanced([self._node(x, prefix) for x in items], "and") if items else F.lit(True)
             case Or(items):
-                exact = _exact_list(items)
-                if exact is not None:
-                    path, values, ignore = exact
-                    return self._on_values(at(path), lambda v: (ascii_lower(v) if ignore else v).isin(*values))
-                return reduce(lambda a, b: a | b, [self._node(x, prefix) for x in items]) if items else F.lit(False)
+                lists, rest = _equalities(items)
+                tests = [self._on_values(at(path), lambda v, ws=ws, ig=ig: (ascii_lower(v) if ig else v).isin(*ws)) if how == "text" else self._number(at(path), True).isin(*ws) for (how, path, ig), ws in lists]
+                tests += [self._node(x, prefix) for x in rest]
+                return balanced(tests, "or") if tests else F.lit(False)
             case AtLeast(n, items):
                 return reduce(lambda a, b: a + b, [F.coalesce(self._node(x, prefix), F.lit(False)).cast("int") for x in items], F.lit(0)) >= n
             case Not(item):
@@ -163,7 +227,9 @@ class Compiler:
             case Text(path, _, _, _):
                 return self._on_values(at(path), lambda v: self._text_test(v, node))
             case Nested(path, item):
-                return self.fields.is_object(at(path)) & self._node(item, at(path))
+                here = at(path)
+                inner = self.fields.inside(here) if not prefix and isinstance(self.fields, MappedFields) else here
+                return self.fields.is_object(here) & self._node(item, inner)
             case Matrix(paths, rows):
                 fit = [r for r in rows if len(r) == len(paths)]
                 return self._node(Or(tuple(And(tuple(Text(p, *t) if isinstance(t, tuple) else t for p, t in zip(paths, r))) for r in fit)), prefix)
@@ -172,13 +238,18 @@ class Compiler:
         raise TypeError(f"not an expression: {node!r}")
 
 
-def _exact_list(items: tuple) -> tuple[str, list[str], bool] | None:
-    """(path, values, ignore case) when a group is one field equal to any of several texts."""
-    if len(items) < 3 or not all(isinstance(x, Text) and x.how == "exact" for x in items):
-        return None
-    if len({(x.path, x.ignore_case) for x in items}) > 1:
-        return None
-    return items[0].path, [_fold(x.value) if items[0].ignore_case else x.value for x in items], items[0].ignore_case
+def _equalities(items: tuple) -> tuple[list, list]:
+    """Equalities of one field with three or more values as lists of values, and the other items."""
+    groups: dict[tuple, list] = {}
+    for x in items:
+        if isinstance(x, Text) and x.how == "exact":
+            groups.setdefault(("text", x.path, x.ignore_case), []).append(x)
+        elif isinstance(x, Compare) and x.op == "==" and x.whole and abs(x.value) < 2**53:
+            groups.setdefault(("number", x.path, False), []).append(x)
+    groups = {k: v for k, v in groups.items() if len(v) >= 3}
+    taken = {id(x) for v in groups.values() for x in v}
+    lists = [(k, [_fold(x.value) if k[2] else x.value if k[0] == "text" else int(x.value) for x in v]) for k, v in groups.items()]
+    return lists, [x for x in items if id(x) not in taken]
 
 
 def portable_regex(pattern: str) -> str:
