@@ -47,6 +47,62 @@ def test_operators_keep_every_item():
 
     draw = np.random.default_rng(3)
     sizes = [int(x) for x in draw.integers(1, 60, 200)]
-    seeds = packing.evolve(sizes, [], 100, 0, 4, 1)
+    seeds, births = packing.evolve(sizes, [], 100, 0, 4, 1)
+    assert births == 0
     for child in (packing.crossover(sizes, seeds[0], seeds[1], 100, draw), packing.mutate(sizes, seeds[0], 100, draw)):
         assert sorted(x for b in child for x in b) == list(range(200)) and all(sum(sizes[x] for x in b) <= 100 for b in child)
+
+
+def triplets(n, capacity=1000):
+    """Items that fill ``n`` containers exactly, three to each."""
+    out = []
+    for _ in range(n):
+        a = random.randint(380, 490)
+        b = random.randint(250, (capacity - a) // 2)
+        out += [a, b, capacity - a - b]
+    random.shuffle(out)
+    return out
+
+
+def test_breeding_beats_best_fit_on_planted_triplets():
+    for seed, n in ((1, 40), (2, 167)):
+        random.seed(seed)
+        sizes, bins = triplets(n), []
+        packing.best_fit(sizes, range(len(sizes)), bins, [], 1000)
+        elites, births = [bins], 0
+        for epoch in range(4):
+            elites, more = packing.evolve(sizes, elites[:4], 1000, 40, 12, epoch)
+            births += more
+        assert births and sorted(x for b in elites[0] for x in b) == list(range(3 * n))
+        assert len(elites[0]) - n <= (len(bins) - n) / 4, (len(bins), len(elites[0]))
+
+
+def test_crossover_keeps_full_containers():
+    import numpy as np
+
+    sizes = [50, 50, 60, 40, 30, 30, 30]
+    child = packing.crossover(sizes, [[0, 2], [1, 3], [4, 5, 6]], [[0, 1], [2, 3], [4, 5], [6]], 200, np.random.default_rng(1))
+    assert sorted(x for b in child for x in b) == list(range(7))
+
+
+def test_islands_pack_triplets(spark):
+    random.seed(4)
+    sizes = list(enumerate(triplets(60)))
+    bins, least = check(spark, sizes, 1000, block_items=1000)
+    single = []
+    packing.best_fit([n for _, n in sizes], range(len(sizes)), single, [], 1000)
+    assert least == 60 and bins <= 62 < len(single)
+
+
+def test_blocks_that_cannot_be_filled_stop(spark):
+    bins, _ = check(spark, [(i, 51) for i in range(400)], 100, block_items=50)
+    assert bins == 400
+
+
+def test_replacement_only_fills():
+    import numpy as np
+
+    sizes, bins, room = [40, 30, 20, 55, 35], [[0, 1], [2]], [30, 80]
+    left = packing.replace(sizes, [3, 4], bins, room, 100, np.random.default_rng(0))
+    assert sorted([x for b in bins for x in b] + left) == [0, 1, 2, 3, 4]
+    assert all(sum(sizes[x] for x in b) + r == 100 and r >= 0 for b, r in zip(bins, room))
