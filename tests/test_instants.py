@@ -93,3 +93,19 @@ def test_filetimes_of_all_rows_are_converted(spark, data):
     assert got.count() == table(spark, data, "mft_entries").count()
     outside = got.join(table(spark, data, "mft_entries").where("file_name_created_ft <= 0"), "row_id")
     assert outside.where("created IS NOT NULL").count() == 0
+
+
+def test_many_zone_texts_and_blanks(spark):
+    hosts = [(f"h{i}", "Asia/Tokyo" if i == 1499 else "UTC+05:30" if i == 1498 else f"Not/AZone{i}", "en-GB") for i in range(1500)]
+    hosts = spark.createDataFrame(hosts, "computer string, time_zone string, locale_tag string")
+    rows = [(1, "h1499", "2020-06-05 06:33:48"), (2, "h1498", "2020-06-05 06:33:48"), (3, "h7", "2020-06-05 06:33:48"), (4, "h7", " " * 500 + "2020-06-05T06:33:48Z" + "\0" * 9)]
+    out = normalise_instants(spark.createDataFrame(rows, "i int, computer string, t string"), hosts, "t", rules="tz_version")
+    got = {r[0]: r[1] for r in out.select("i", utc_text(F.col("utc"))).collect()}
+    assert got == {1: "2020-06-04T21:33:48.000000Z", 2: "2020-06-05T01:03:48.000000Z", 3: None, 4: "2020-06-05T06:33:48.000000Z"}
+    assert {r[0] for r in out.select("tz_version").collect()} == {zone_tables(spark, []).version}
+
+
+def test_other_years(spark):
+    rows = spark.createDataFrame([("a", "1999-06-05 06:33:48"), ("a", "2020-06-05 06:33:48")], "computer string, t string")
+    out = normalise_instants(rows, spark.createDataFrame(HOSTS, "computer string, time_zone string, locale_tag string"), "t", years=(1990, 2005))
+    assert [r[0] for r in out.select(utc_text(F.col("utc"))).collect()] == ["1999-06-05T04:33:48.000000Z", None]

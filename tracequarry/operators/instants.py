@@ -4,7 +4,7 @@ A batch of texts is tokenised into character-class shape masks (digit, letter, o
 Each distinct mask is mapped to a parser once; the parser slices fixed columns out of the
 character matrix of all texts of that mask, so conversion is array arithmetic. Local
 readings go through zone transition tables that the driver takes, with their version,
-from the JVM's time-zone rules and ships with the task.
+from the JVM's time-zone rules and ships with the task; the version can be had as a column.
 """
 
 from __future__ import annotations
@@ -18,8 +18,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Years that occur; readings outside are taken for no instants.
+#: Years that occur, unless others are asked for; readings outside are taken for no instants.
 YEARS = (2019, 2026)
+#: Zone texts that name a fixed offset; all others are looked up in the rules.
+FIXED_OFFSET = r"^(UTC|GMT|UT)?[+-]\d{1,2}(:?[0-5]\d)?$"
 #: Longest text that can be a timestamp; longer ones denote none.
 WIDTH = 48
 #: Offsets in minutes of zone abbreviations.
@@ -58,20 +60,24 @@ _CLASSES[ord("a") : ord("z") + 1] = ord("A")
 
 @dataclass
 class ZoneTables:
-    """UTC transition seconds and offsets of each zone; ``version`` names the rules they are from."""
+    """UTC transition seconds and offsets of each zone; ``version`` names the rules they are from, ``years`` the span."""
 
     version: str
     starts: dict[str, list[int]] = field(default_factory=dict)
     offsets: dict[str, list[int]] = field(default_factory=dict)
+    years: tuple[int, int] = YEARS
 
 
-def zone_tables(spark: SparkSession, zones: Sequence[str]) -> ZoneTables:
-    """The transitions of ``zones`` over ``YEARS`` from the JVM's rules. Unknown names are left out.
+def known_zones(spark: SparkSession) -> list[str]:
+    """The names in the JVM's time-zone rules (about 600)."""
+    return sorted(str(z) for z in spark.sparkContext._jvm.java.time.zone.ZoneRulesProvider.getAvailableZoneIds())
 
-    The number of zones is bounded by the time-zone database (about 600 names)."""
+
+def zone_tables(spark: SparkSession, zones: Sequence[str], years: tuple[int, int] = YEARS) -> ZoneTables:
+    """The transitions of ``zones`` over ``years`` from the JVM's rules. Unknown names are left out."""
     java = spark.sparkContext._jvm.java.time
-    out = ZoneTables(version=str(java.zone.ZoneRulesProvider.getVersions("UTC").lastKey()))
-    begin, end = (int(pd.Timestamp(y, 1, 1).timestamp()) for y in (YEARS[0] - 1, YEARS[1] + 2))
+    out = ZoneTables(version=str(java.zone.ZoneRulesProvider.getVersions("UTC").lastKey()), years=years)
+    begin, end = (int(pd.Timestamp(y, 1, 1).timestamp()) for y in (years[0] - 1, years[1] + 2))
     for zone in zones:
         try:
             rules = java.ZoneId.of(zone).getRules()
@@ -153,9 +159,9 @@ def _days(y: np.ndarray, m: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.n
     return first + d - 1, ok & (d <= length)
 
 
-def _epoch_micros(n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Numbers to microseconds by the one epoch and unit under which they lie in ``YEARS``."""
-    low, high = (int(pd.Timestamp(y, 1, 1).timestamp()) for y in (YEARS[0], YEARS[1] + 1))
+def _epoch_micros(n: np.ndarray, years: tuple[int, int]) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers to microseconds by the one epoch and unit under which they lie in ``years``."""
+    low, high = (int(pd.Timestamp(y, 1, 1).timestamp()) for y in (years[0], years[1] + 1))
     out, found = np.zeros(len(n), dtype=np.int64), np.zeros(len(n), dtype=bool)
     for per_second, back in ((1, 0), (10**3, 0), (10**6, 0), (10**9, 0), (10**6, SINCE_1601), (10**7, SINCE_1601), (10**7, SINCE_0001)):
         seconds = n // per_second - back
@@ -218,7 +224,7 @@ def _civil(chars, spans, zone, locale, tables: ZoneTables):
                 here = names == z
                 utc[here], exists[here] = local_to_utc(local[here], tables.starts[z], tables.offsets[z])
         ok &= exists
-    low, high = (int(pd.Timestamp(y, 1, 1).timestamp()) for y in (YEARS[0], YEARS[1] + 1))
+    low, high = (int(pd.Timestamp(y, 1, 1).timestamp()) for y in (tables.years[0], tables.years[1] + 1))
     ok &= (utc >= low) & (utc < high)
     return utc * 10**6 + micros, ok
 
@@ -228,7 +234,7 @@ def to_micros(texts: Sequence[str | None], zones: Sequence[str | None], locales:
     n = len(texts)
     out, found = np.zeros(n, dtype=np.int64), np.zeros(n, dtype=bool)
     zones, locales = (np.array([x if isinstance(x, str) else None for x in v], dtype=object) for v in (zones, locales))
-    bare = [t.strip(" \t\r\n\0\"'") if isinstance(t, str) and len(t) < 4 * WIDTH else "" for t in texts]
+    bare = [t.strip(" \t\r\n\0\"'") if isinstance(t, str) else "" for t in texts]
     hexed = [i for i, t in enumerate(bare) if t[:2] in ("0x", "0X") and 3 <= len(t) <= 18]
     if hexed:
         values = np.zeros(len(hexed), dtype=np.int64)
@@ -238,7 +244,7 @@ def to_micros(texts: Sequence[str | None], zones: Sequence[str | None], locales:
             except ValueError:
                 pass
             bare[i] = ""
-        out[hexed], found[hexed] = _epoch_micros(values)
+        out[hexed], found[hexed] = _epoch_micros(values, tables.years)
     rows = np.array([i for i, t in enumerate(bare) if t and len(t) <= WIDTH], dtype=np.int64)
     if not len(rows):
         return out, found
@@ -254,7 +260,7 @@ def to_micros(texts: Sequence[str | None], zones: Sequence[str | None], locales:
             texts_here = chars[here]
             wide = spans["number"][1] == 19 and (texts_here[:, 0] == ord("9"))
             values = np.where(wide, 0, _number(texts_here, spans["number"]))
-            out[at], found[at] = _epoch_micros(values)
+            out[at], found[at] = _epoch_micros(values, tables.years)
         else:
             out[at], found[at] = _civil(chars[here], spans, zones[at], locales[at], tables)
     return out, found
@@ -277,20 +283,36 @@ def instant_micros(text: Column, zone: Column, locale: Column, tables: ZoneTable
 
 
 def normalise_instants(
-    rows: DataFrame, hosts: DataFrame, text: str, host: str = "computer", zone: str = "time_zone", locale: str = "locale_tag", out: str = "utc"
+    rows: DataFrame,
+    hosts: DataFrame,
+    text: str,
+    host: str = "computer",
+    zone: str = "time_zone",
+    locale: str = "locale_tag",
+    out: str = "utc",
+    years: tuple[int, int] = YEARS,
+    rules: str | None = None,
 ) -> DataFrame:
     """``rows`` with a timestamp column ``out``: the instant that ``text`` denotes, or null.
 
     ``hosts`` gives each computer's zone and locale; the first row (by zone, then locale)
     counts where a computer is listed twice. It is joined as the optimiser sees fit, by
-    broadcast only under the session's size threshold. All columns of ``rows`` stay.
+    broadcast only under the session's size threshold. Only zones that the JVM's rules know,
+    or fixed offsets, travel to the driver, so their number is bounded by the rules; other
+    zone texts denote no zone. Blanks, quotes and NULs around a text are cut before its
+    length is looked at. Only instants within ``years`` count. ``rules`` names a column to
+    add that gives the version of the time-zone rules that were used, so that results of
+    different versions can be told apart. All columns of ``rows`` stay.
     """
+    spark = rows.sparkSession
     named = hosts.where(F.col(host).isNotNull()).groupBy(F.col(host).alias("__host")).agg(F.min(F.struct(zone, locale)).alias("__z"))
-    zones = [r[0] for r in hosts.select(zone).where(F.col(zone).isNotNull()).distinct().limit(1000).collect()]
-    tables = zone_tables(rows.sparkSession, sorted(zones))
+    known = F.col(zone).isin(*known_zones(spark)) | F.col(zone).rlike(FIXED_OFFSET)
+    zones = [r[0] for r in hosts.where(known).select(zone).distinct().collect()]
+    tables = zone_tables(spark, sorted(zones), years)
     joined = rows.join(named, F.col(host) == F.col("__host"), "left")
     micros = instant_micros(F.col(text).cast("string"), F.col(f"__z.{zone}"), F.col(f"__z.{locale}"), tables)
-    return joined.withColumn(out, F.timestamp_micros(micros)).drop("__host", "__z")
+    done = joined.withColumn(out, F.timestamp_micros(micros)).drop("__host", "__z")
+    return done.withColumn(rules, F.lit(tables.version)) if rules else done
 
 
 def is_canonical_text(text: Column) -> Column:
@@ -298,9 +320,9 @@ def is_canonical_text(text: Column) -> Column:
     return text.rlike(r"^\d{4}-\d\d-\d\dT\d\d:\d\d:\d\d(\.\d{6})?Z$")
 
 
-def is_canonical_number(n: Column) -> Column:
-    """Counts of 100 ns since 1601 that lie in ``YEARS``."""
-    low, high = ((int(pd.Timestamp(y, 1, 1).timestamp()) + SINCE_1601) * 10**7 for y in (YEARS[0], YEARS[1] + 1))
+def is_canonical_number(n: Column, years: tuple[int, int] = YEARS) -> Column:
+    """Counts of 100 ns since 1601 that lie in ``years``."""
+    low, high = ((int(pd.Timestamp(y, 1, 1).timestamp()) + SINCE_1601) * 10**7 for y in (years[0], years[1] + 1))
     return (n >= low) & (n < high)
 
 

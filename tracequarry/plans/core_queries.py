@@ -33,17 +33,21 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     return wide.wide_cells(registry_wide(spark, folder), REGISTRY_ATTRIBUTES)
 
 
+#: The columns with timestamps of each table.
+TIMESTAMPS = {"hunt_docs": ("doc_timestamp",), "table_details": ("time_from",), "mft_entries": ("standard_info_created", "file_name_created_ft")}
+
+
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     parts = []
-    for name, column in (("hunt_docs", "doc_timestamp"), ("table_details", "time_from"), ("mft_entries", "standard_info_created"), ("mft_entries", "file_name_created_ft")):
+    for name, columns in TIMESTAMPS.items():  # one scan of each table
         t = table(spark, folder, name)
-        c = F.col(column)
-        canonical = instants.is_canonical_number(c) | (c <= 0) if column == "file_name_created_ft" else instants.is_canonical_text(c)
-        parts.append(
-            t.where(c.isNotNull() & ~canonical).select(
-                F.lit(name).alias("rec_table"), F.col("row_id").alias("rec_id"), F.lit(column).alias("fld"), "computer", c.cast("string").alias("__text")
-            )
-        )
+        values = []
+        for column in columns:
+            c = F.col(column)
+            canonical = instants.is_canonical_number(c) | (c <= 0) if column.endswith("_ft") else instants.is_canonical_text(c)
+            values.append(F.struct(F.lit(column).alias("fld"), F.when(~canonical, c.cast("string")).alias("text")))
+        each = t.select(F.lit(name).alias("rec_table"), F.col("row_id").alias("rec_id"), "computer", F.explode(F.array(*values)).alias("__v"))
+        parts.append(each.select("rec_table", "rec_id", "__v.fld", "computer", F.col("__v.text").alias("__text")).where(F.col("__text").isNotNull()))
     rows = parts[0]
     for p in parts[1:]:
         rows = rows.unionByName(p)
