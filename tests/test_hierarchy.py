@@ -2,7 +2,8 @@ import random
 
 import pytest
 
-from tracequarry.operators.hierarchy import hierarchy
+from tracequarry.operators import hierarchy as module
+from tracequarry.operators.hierarchy import descendants, hierarchy
 
 SCHEMA = "g bigint, v bigint, p bigint, name string, t int, root string"
 
@@ -75,3 +76,37 @@ def test_latest_rows_nulls_and_repeats(spark):
 
 def test_empty(spark):
     assert solve(spark, []) == {}
+
+
+def test_descendants(spark):
+    rows = forest(5, 120)
+    got = sorted(tuple(r) for r in descendants(spark.createDataFrame([(*r, "clash") for r in rows], SCHEMA), "g", "v", "p", ["t"]).collect())
+    latest = {(g, v): p for g, v, p, *_ in rows}
+    want = []
+    for (g, v), (root, depth, _, _) in brute(rows).items():
+        at = v
+        for d in range(1, depth + 1):
+            at = latest[g, at]
+            want.append((g, at, v, d))
+    assert got == sorted(want)
+
+
+def test_deep_chain_in_bounded_slices(spark, monkeypatch):
+    monkeypatch.setattr(module, "SLICE_CHARACTERS", 50_000)
+    n = 20_000
+    df = spark.range(n).selectExpr("1L AS g", "id AS v", "CASE WHEN id > 0 THEN id - 1 END AS p", "'c' AS name")
+    out = hierarchy(df, "g", "v", "p", "name").selectExpr("count(*) AS n", "sum(depth) AS d", "sum(n_desc) AS s", "sum(length(path)) AS l", "min(root) AS a", "max(root) AS b").first()
+    assert tuple(out) == (n, n * (n - 1) // 2, n * (n - 1) // 2, n * n, 0, 0)
+
+
+def test_group_of_300_000_nodes_over_the_cluster(spark):
+    """A group above the cap: eight children each, and a chain and a ring beside."""
+    n = 300_000
+    df = spark.range(n).selectExpr("1L AS g", "id AS v", "CASE WHEN id > 0 THEN (id - 1) DIV 8 END AS p", "'x' AS name")
+    chain = spark.range(n, n + 500).selectExpr("1L AS g", "id AS v", f"CASE WHEN id = {n} THEN 7L ELSE id - 1 END AS p", "'y' AS name")
+    ring = spark.range(n + 1000, n + 1100).selectExpr("1L AS g", "id AS v", f"CASE WHEN id = {n + 1099} THEN {n + 1000}L ELSE id + 1 END AS p", "'z' AS name")
+    df = df.unionByName(chain).unionByName(ring)
+    measures = ["count(*) AS n", "sum(depth) AS d", "sum(n_desc) AS s", "sum(length(path)) AS l", "sum(crc32(path)) AS h"]
+    by_joins = hierarchy(df, "g", "v", "p", "name", cap=250_000).selectExpr(*measures).first()
+    in_task = hierarchy(df, "g", "v", "p", "name", cap=10**7).selectExpr(*measures).first()
+    assert by_joins == in_task and by_joins[0] == n + 600

@@ -9,7 +9,11 @@ descendants from nodes that are already known.
 
 Groups (such as disk volumes) of at most ``cap`` nodes are contracted inside one task with
 array arithmetic, many groups per batch. Larger groups are first contracted over the
-cluster by joins until no group has more than ``cap`` active nodes.
+cluster by joins until no group has more than ``cap`` active nodes; the results are the same.
+
+Paths come from the records, too: a removed node keeps the label that its link had gathered
+and the node it hung under, which was removed later or not at all, so that a path is put
+together from as many pieces as there were rounds, for a bounded slice of nodes at a time.
 """
 
 from __future__ import annotations
@@ -26,30 +30,36 @@ from tracequarry.runtime import cut_lineage
 CAP = 250_000
 #: Rows gathered before a batch of whole groups is contracted.
 BATCH = 50_000
+#: Characters of paths, and nodes, that are put together and passed on at once.
+SLICE_CHARACTERS, SLICE_NODES = 16_000_000, 10_000
 _STATE = "g bigint, v bigint, p bigint, w bigint, lab string, acc bigint, carry bigint, cyc boolean"
 _RESULT = "g bigint, v bigint, root bigint, depth bigint, n_desc bigint, path string, cyc boolean"
 
 
-def contract(parent: np.ndarray, w: np.ndarray, acc: np.ndarray, carry: np.ndarray, cyc: np.ndarray):
+def contract(parent: np.ndarray, w: np.ndarray, acc: np.ndarray, carry: np.ndarray, cyc: np.ndarray, lab: np.ndarray):
     """Contracts a forest given by parent positions (-1: root) and replays it.
 
     ``w``: edges that a link stands for; ``acc``: descendants already raked into a node;
-    ``carry``: nodes that the link itself stands for; ``cyc``: roots that are cycles.
+    ``carry``: nodes that the link itself stands for; ``cyc``: roots that are cycles;
+    ``lab``: the names that the link and its node stand for.
     Returns root position, depth, number of descendants and whether a node is on or below
-    a cycle (its other results are then without meaning).
+    a cycle (its other results are then without meaning); and for the paths of each node the
+    one it hung under when it was removed (-1: none), its label then, and the path's length.
     """
     n = len(parent)
-    p, w, acc, carry, cyc = parent.copy(), w.copy(), acc.copy(), carry.copy(), cyc.copy()
+    p, w, acc, carry, cyc, lab = parent.copy(), w.copy(), acc.copy(), carry.copy(), cyc.copy(), lab.copy()
     children = np.bincount(p[p >= 0], minlength=n)
     active = np.ones(n, dtype=bool)
     records: list[tuple] = []
     coins = np.random.default_rng(7)
     rest = np.arange(n)
+    hung = np.full(n, -1, dtype=np.int64)
     while True:
         leaves = rest[(children[rest] == 0) & (p[rest] >= 0)]
         while len(leaves):  # rake, following the leaves that raking makes
             up = p[leaves]
             records.append((leaves, up, w[leaves], None, None))
+            hung[leaves] = up
             np.add.at(acc, up, acc[leaves] + 1 + carry[leaves])
             np.subtract.at(children, up, 1)
             active[leaves] = False
@@ -69,8 +79,10 @@ def contract(parent: np.ndarray, w: np.ndarray, acc: np.ndarray, carry: np.ndarr
         mid = p[child]
         if len(child):
             records.append((mid, p[mid], w[mid], child, carry[child].copy()))
+            hung[mid] = p[mid]
             carry[child] += acc[mid] + 1 + carry[mid]
             w[child] += w[mid]
+            lab[child] = lab[mid] + "\\" + lab[child]
             p[child] = p[mid]
             active[mid] = False
         loops = rest[active[rest] & (p[rest] == rest)]
@@ -80,15 +92,29 @@ def contract(parent: np.ndarray, w: np.ndarray, acc: np.ndarray, carry: np.ndarr
             p[loops] = -1
         rest = rest[active[rest]]
     root, depth, size = np.arange(n), np.zeros(n, dtype=np.int64), acc
+    length = np.fromiter(map(len, lab), dtype=np.int64, count=n)
     for v, up, weight, child, carried in reversed(records):
         root[v], depth[v], cyc[v] = root[up], depth[up] + weight, cyc[up]
+        length[v] += length[up] + 1
         if child is not None:
             size[v] = acc[v] + carried + 1 + size[child]
-    return root, depth, size, cyc
+    return root, depth, size, cyc, hung, lab, length
+
+
+def paths_of(nodes: np.ndarray, hung: np.ndarray, lab: np.ndarray) -> np.ndarray:
+    """The paths of some nodes, from the labels of the records they lead to."""
+    out, at = lab[nodes], hung[nodes]
+    going = np.flatnonzero(at >= 0)
+    while len(going):
+        up = at[going]
+        out[going] = lab[up] + "\\" + out[going]
+        at[going] = hung[up]
+        going = going[at[going] >= 0]
+    return out
 
 
-def _solve_batch(t):
-    """Results of one Arrow table of whole groups."""
+def _emit(t) -> Iterator:
+    """Results of one Arrow table of whole groups, a slice of nodes at a time."""
     import pyarrow as pa
 
     g, v = t.column("g").to_numpy(), t.column("v").to_numpy()
@@ -105,24 +131,18 @@ def _solve_batch(t):
     at = np.minimum(np.searchsorted(sorted_own, want), n - 1)
     parent = np.where(has & (sorted_own[at] == want), order[at], -1)
     parent[parent == np.arange(n)] = -1  # its own parent: a root
-    lab = t.column("lab").to_pylist()
-    root, depth, size, cyc = contract(
-        parent, t.column("w").to_numpy().copy(), t.column("acc").to_numpy().copy(), t.column("carry").to_numpy().copy(), t.column("cyc").to_numpy(zero_copy_only=False).copy()
-    )
-    paths: list[str | None] = [None] * n
-    for i in np.argsort(depth, kind="stable").tolist():
-        if not cyc[i]:
-            up = parent[i]
-            paths[i] = lab[i] if up < 0 else f"{paths[up]}\\{lab[i]}"
-    return g, v, v[root], depth, size, paths, cyc, pa
-
-
-def _emit(t) -> Iterator:
-    g, v, root, depth, size, paths, cyc, pa = _solve_batch(t)
-    for i in range(0, len(g), 10_000):  # long paths: bounded batches
-        s = slice(i, i + 10_000)
+    lab = np.empty(n, dtype=object)
+    lab[:] = t.column("lab").to_pylist()
+    numbers = (t.column(c).to_numpy().copy() for c in ("w", "acc", "carry"))
+    root, depth, size, cyc, hung, lab, length = contract(parent, *numbers, t.column("cyc").to_numpy(zero_copy_only=False).copy(), lab)
+    length[cyc] = 0
+    step = np.maximum(np.cumsum(length) // SLICE_CHARACTERS, np.arange(n) // SLICE_NODES)
+    for s in np.split(np.arange(n), np.flatnonzero(np.diff(step)) + 1):
+        paths = np.full(len(s), None, dtype=object)
+        fine = ~cyc[s]
+        paths[fine] = paths_of(s[fine], hung, lab)
         yield pa.RecordBatch.from_arrays(
-            [pa.array(g[s]), pa.array(v[s]), pa.array(root[s]), pa.array(depth[s]), pa.array(size[s]), pa.array(paths[s], pa.string()), pa.array(cyc[s])],
+            [pa.array(g[s]), pa.array(v[s]), pa.array(v[root[s]]), pa.array(depth[s]), pa.array(size[s]), pa.array(paths, pa.string()), pa.array(cyc[s])],
             names=["g", "v", "root", "depth", "n_desc", "path", "cyc"],
         )
 
@@ -224,35 +244,40 @@ def _replay(known: DataFrame, records: DataFrame) -> DataFrame:
 
 
 def solve(state: DataFrame, cap: int = CAP, max_rounds: int = 200) -> DataFrame:
-    """Results of all groups; groups above ``cap`` are first contracted over the cluster."""
+    """Results of all groups; groups above ``cap`` are first contracted over the cluster.
+
+    A round of raking and compressing leaves at most a constant share of the nodes active.
+    The replay of a round reads the results of the nodes that were active after it, which
+    all later rounds together have written, and writes only those of its own nodes: over all
+    rounds that is a few times the number of nodes."""
+    state = cut_lineage(state)  # read twice: for the sizes of the groups and for the work
     sizes = state.groupBy("g").agg(F.count("*").alias("n"))
     big = cut_lineage(sizes.where(F.col("n") > cap).select("g"))
     if big.isEmpty():
         return solve_locally(state)
     small = solve_locally(state.join(big, "g", "left_anti"))
-    present = state.select("g", F.col("v").alias("p"), F.lit(True).alias("there")).distinct()
+    present = state.join(big, "g", "left_semi").select("g", F.col("v").alias("p"), F.lit(True).alias("there"))
     active = state.join(big, "g", "left_semi").join(present, ["g", "p"], "left")
     linked = F.col("there").isNotNull() & (F.col("p") != F.col("v"))
     active = cut_lineage(active.withColumn("p", F.when(linked, F.col("p"))).select(*[c.split()[0] for c in _STATE.split(", ")]))
-    records: list[DataFrame] = []
+    records: list[tuple[DataFrame, DataFrame]] = []
     finished: list[DataFrame] = []
     for salt in range(max_rounds):
         raked, done, active = _rake(active)
-        finished.append(done)
         active = cut_lineage(active)
         spliced, active = _compress(active, salt)
         active = cut_lineage(active)
-        records += [raked, spliced]
+        finished.append(done)
+        records.append((raked, spliced))
         if active.groupBy("g").count().where(F.col("count") > cap).isEmpty():
             break
     else:
         raise RuntimeError(f"contraction did not end in {max_rounds} rounds")
-    known = solve_locally(active)
-    for done in finished:
-        known = known.unionByName(done)
-    known = cut_lineage(known)
-    for r in reversed(records):
-        known = cut_lineage(known.unionByName(_replay(known, r)))
+    known = cut_lineage(solve_locally(active))
+    for (raked, spliced), done in zip(reversed(records), reversed(finished)):
+        known = known.unionByName(done)  # roots that this round finished, the parents of leaves it raked
+        known = known.unionByName(cut_lineage(_replay(known, spliced)))
+        known = known.unionByName(cut_lineage(_replay(known, raked)))
     return small.unionByName(known)
 
 
@@ -292,12 +317,12 @@ def hierarchy(
     )
 
 
-def descendants(rows: DataFrame, group: str, node: str, root: str = "root", path_ids: str = "path_ids") -> DataFrame:
-    """(group, ancestor, node, distance) for every node and each of its ancestors, from paths of ids.
+def descendants(rows: DataFrame, group: str, node: str, parent: str, order: Sequence[str] = (), cap: int = CAP) -> DataFrame:
+    """(group, ancestor, node, distance) for every node and each of its ancestors.
 
-    The result has as many rows as the sum of all depths."""
-    split = rows.select(group, node, F.split(path_ids, r"\\").alias("__ids"))
-    exploded = split.select(group, node, F.size("__ids").alias("__n"), F.posexplode("__ids").alias("__i", "ancestor"))
-    return exploded.where(F.col("__i") < F.col("__n") - 1).select(
-        group, F.col("ancestor").cast("bigint").alias("ancestor"), node, (F.col("__n") - 1 - F.col("__i")).alias("distance")
-    )
+    The paths of :func:`hierarchy` over ids instead of names, taken apart in the JVM; there
+    are as many rows as the sum of all depths. Nodes on or below a cycle give none."""
+    ids = hierarchy(rows.withColumn("__id", F.col(node).cast("bigint").cast("string")), group, node, parent, "__id", order, cap)
+    split = ids.where(F.col("depth") > 0).select(group, node, "depth", F.split("path", r"\\").alias("__ids"))
+    exploded = split.select(group, node, "depth", F.posexplode(F.slice("__ids", F.lit(1), F.col("depth").cast("int"))).alias("__i", "__a"))
+    return exploded.select(group, F.col("__a").cast("bigint").alias("ancestor"), node, (F.col("depth") - F.col("__i")).cast("int").alias("distance"))

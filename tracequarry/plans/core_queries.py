@@ -99,7 +99,13 @@ def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p4_found": p4_found, "p5_found": p5_found, "p6_found": p6_found}
+def p6_descendants(spark: SparkSession, folder: str) -> DataFrame:
+    """Every entry with each entry above it."""
+    out = hierarchy.descendants(table(spark, folder, "mft_entries"), "volume_id", "entry_id", "base_entry_id", ["collected_at", "row_id"])
+    return out.select("volume_id", "ancestor", "entry_id", "distance")
+
+
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p4_found": p4_found, "p5_found": p5_found, "p6_found": p6_found, "p6_descendants": p6_descendants}
 
 ORACLE_SQL = {
     "p4_found": """
@@ -136,4 +142,17 @@ ORACLE_SQL = {
                CAST(coalesce(u.n_desc, -1) AS INTEGER) AS n_desc, coalesce(w.node_path, '') AS node_path
         FROM nodes n LEFT JOIN walk w USING (volume_id, entry_id) LEFT JOIN under u USING (volume_id, entry_id)
     """,
+    "p6_descendants": """
+        WITH RECURSIVE latest AS (
+          SELECT volume_id, entry_id, arg_max(struct_pack(b := base_entry_id), (collected_at, row_id)) AS r FROM mft_entries GROUP BY ALL),
+        nodes AS (
+          SELECT l.volume_id, l.entry_id, CASE WHEN r.b <> l.entry_id AND p.entry_id IS NOT NULL THEN r.b END AS parent
+          FROM latest l LEFT JOIN (SELECT volume_id, entry_id FROM latest) p ON p.volume_id = l.volume_id AND p.entry_id = l.r.b),
+        walk AS (
+          SELECT volume_id, entry_id, CAST([] AS BIGINT[]) AS above FROM nodes WHERE parent IS NULL
+          UNION ALL
+          SELECT n.volume_id, n.entry_id, list_prepend(w.entry_id, w.above) FROM walk w JOIN nodes n ON n.volume_id = w.volume_id AND n.parent = w.entry_id)
+        SELECT volume_id, above[i] AS ancestor, entry_id, CAST(i AS INTEGER) AS distance
+        FROM (SELECT volume_id, entry_id, above, unnest(range(1, len(above) + 1)) AS i FROM walk)
+    """,
 }
