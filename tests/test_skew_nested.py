@@ -43,7 +43,7 @@ def test_shredding(spark):
     df = spark.createDataFrame(RECORDS, "row_id bigint, doc string")
     graph = nested.analyse(df, "doc")
     assert graph.relations == ["a.list", "a.list.sub"] and graph.parent["a.list.sub"] == "a.list"
-    assert graph.columns[""] == {"a.plain.deep": "bigint"} and graph.columns["a.list"] == {"x": "bigint"}
+    assert graph.columns[""] == {"a.plain.deep": "bigint", "a.a": "bigint"} and graph.columns["a.list"] == {"x": "bigint"}
     rows = nested.shred(df, graph, "row_id", "doc")
     got = {(r.rec_id, r.arr_path, r.ordinals, r.parent_ordinals) for r in rows.collect()}
     assert got == {
@@ -57,7 +57,61 @@ def test_shredding(spark):
 def test_shared_and_recursive_elements():
     graph = nested.build_graph([("p.node", "array"), ("p.node.node", "array"), ("q.node", "array"), ("p.node.v", "string"), ("p.node.v", "bigint")])
     assert graph.shared == {"node": ["p.node", "p.node.node", "q.node"]} and graph.recursive == ["p.node.node"]
-    assert graph.columns["p.node"] == {"v": "string"}
+    assert graph.columns["node"] == {"v": "string"} and set(graph.relation_of.values()) == {"node"}
+
+
+def test_one_table_for_a_shared_and_recursive_element(spark):
+    tree = {"v": 1, "node": [{"v": 2, "node": [{"v": 3, "node": {"v": 4, "node": [{"v": 5}]}}]}]}
+    df = spark.createDataFrame([(1, json.dumps({"p": {"node": [tree]}, "q": {"node": [{"v": 9}]}}))], "row_id bigint, doc string")
+    graph = nested.analyse(df, "doc")
+    assert graph.relations == ["p.node", "p.node.node", "q.node"]
+    rows = nested.shred(df, graph, "row_id", "doc")
+    got = sorted((r.v, r.arr_path, r.ordinals, r.parent_path, r.parent_ordinals) for r in nested.relation_table(rows, graph, "node").collect())
+    assert got == [
+        (1, "p.node", "0", "", ""), (2, "p.node.node", "0.0", "p.node", "0"), (3, "p.node.node", "0.0.0", "p.node.node", "0.0"),
+        (4, "p.node.node", "0.0.0.0", "p.node.node", "0.0.0"), (5, "p.node.node", "0.0.0.0.0", "p.node.node", "0.0.0.0"), (9, "q.node", "0", "", ""),
+    ]
+
+
+def test_any_depth(spark):
+    def deep(n):
+        return '{"b":' * n + '{"list":[{"x":7}]}' + "}" * n
+
+    docs = [(1, deep(1)), (2, deep(300)), (3, deep(50_000)), (4, '{"a":' + "[" * 50_000 + "]" * 50_000 + "}"), (5, "[" * 50_000)]
+    df = spark.createDataFrame(docs, "row_id bigint, doc string")
+    graph = nested.analyse(df, "doc")
+    assert graph.relations == ["b.b.list", "b.list"]
+    rows = nested.shred(df, graph, "row_id", "doc")
+    assert sorted((r.rec_id, r.arr_path, r.ordinals, r.row_json) for r in rows.collect()) == [(1, "b.list", "0", '{"x": 7}'), (2, "b.b.list", "0", '{"x": 7}'), (3, "b.b.list", "0", '{"x": 7}')]
+    wide = {"l" + str(i): {"list": [{"x": i}]} for i in range(3)}
+    for n in range(300):
+        wide = {f"k{n}": wide}
+    got = nested.Facts()
+    got.add(wide, "")
+    assert sum(f == "array" for _, f in got.pairs) == 3
+
+
+def test_deep_parser_agrees_with_the_library():
+    texts = ['{"a": [1, -2.5e3, true, false, null, "x\\u00e9\\n"], "b": {}, "c": [], "a": 3}', "[]", " 5 ", '"s"', "[1,]", "{,}", '{"a" 1}', "[1 2]", "01", "nul", "", " ", "[1]]", "1 2", '{"a":1,}', "[NaN]", '["\t"]', "{1:2}", "[[[1],{}]]"]
+    for t in texts:
+        want = nested.parse(t)
+        try:
+            got = (nested.parse_deep(t), True)
+        except ValueError:
+            got = (None, False)
+        assert got == want, t
+
+
+def test_objects_with_many_names_are_maps(spark):
+    docs = [(i, json.dumps({"users": {f"u{i}-{j}": {"age": j, "items": [{"n": j}]} for j in range(20)}, "sizes": {f"s{i}{j}": j for j in range(20)}})) for i in range(80)]
+    df = spark.createDataFrame(docs, "row_id bigint, doc string")
+    graph = nested.analyse(df, "doc")
+    assert graph.relations == ["users.*", "users.*.items"] and graph.maps == {"users", "sizes"}
+    rows = nested.shred(df, graph, "row_id", "doc")
+    users = nested.relation_table(rows, graph, "users.*")
+    assert users.count() == 1600 and users.where("rec_id = 3 AND ordinals = '4'").select("`@key`", "age").first()[:] == ("u3-4", 4)
+    items = nested.relation_table(rows, graph, "users.*.items").where("rec_id = 3 AND parent_ordinals = '4'").first()
+    assert (items.ordinals, items.n, items.parent_path) == ("4.0", 4, "users.*") and graph.columns[""] == {"sizes": "string"}
 
 
 def test_clashing_column_names_and_empty(spark):
