@@ -149,3 +149,22 @@ def test_short_spam(spark):
 
 def test_spam_of_empty_table(spark):
     assert spam.spam_pages(spark.createDataFrame([], "doc_id bigint, text string, lang string")).collect() == []
+
+
+def test_margin_is_validated_on_held_out_words(spark):
+    random.seed(6)
+    words = ["résumé", "señor", "überblick", "größe", "año", "français", "naïve", "ação", "coração", "señal", "über", "straße", "élève", "forêt", "niño", "mañana", "grün", "schön", "café", "olá"]
+    words += [a + b for a in ("mé", "lö", "sã", "tü", "pê") for b in ("lange", "rado", "tion", "ler", "nia", "val", "dor", "ment")]
+    names = [f"{random.choice(words)} {random.choice(words)}_{i}" for i in range(2000)]
+    df = spark.createDataFrame(list(enumerate(names)), "id bigint, name string")
+    model = er.train(df, "name")
+    assert sum(model.weights) <= 1.0 and min(model.weights) > 0 and model.margin in er.MARGINS
+    import numpy as np
+
+    counts = np.tile(model.counts / er.FOLDS, (er.FOLDS, 1))
+    weights, margin, curve = er.validate(counts, np.full(er.FOLDS, model.total / er.FOLDS), [(w, [1] * er.FOLDS) for w in words])
+    assert [c[0] for c in curve] == list(er.MARGINS)
+    at = dict((c[0], c[1:]) for c in curve)
+    assert at[margin][0] <= 0.02 and at[margin][1] + at[margin][2] <= 0.1
+    assert all(a[1] >= b[1] and a[2] <= b[2] for a, b in zip(curve, curve[1:]))
+    assert er.validate(counts, np.zeros(er.FOLDS), [])[1] == er.MARGIN
