@@ -13,7 +13,7 @@ LEGACY = {"Př": "cp1250", "Če": "cp1250", "Ře": "cp1250", "Пр": "cp1251", "
 def misread(text, chain):
     for right, wrong in chain:
         data = text.encode(right)
-        table = {b: chr(c) for c, b in (er.encode("", wrong), er._TABLES[wrong])[1].items()} if er.encode("a", wrong) else {}
+        table = er._table(wrong.rstrip("*"), wrong.endswith("*"))[1]
         if any(b not in table for b in data):
             return None
         text = "".join(table[b] for b in data)
