@@ -15,6 +15,7 @@ FILE_FLAGS = (
     (0x1, "FILE_ATTRIBUTE_READONLY"), (0x2, "FILE_ATTRIBUTE_HIDDEN"), (0x4, "FILE_ATTRIBUTE_SYSTEM"), (0x20, "FILE_ATTRIBUTE_ARCHIVE"), (0x40, "FILE_ATTRIBUTE_DEVICE"),
     (0x80, "FILE_ATTRIBUTE_NORMAL"), (0x100, "FILE_ATTRIBUTE_TEMPORARY"), (0x200, "FILE_ATTRIBUTE_SPARSE_FILE"), (0x400, "FILE_ATTRIBUTE_REPARSE_POINT"),
     (0x800, "FILE_ATTRIBUTE_COMPRESSED"), (0x1000, "FILE_ATTRIBUTE_OFFLINE"), (0x2000, "FILE_ATTRIBUTE_NOT_CONTENT_INDEXED"), (0x4000, "FILE_ATTRIBUTE_ENCRYPTED"),
+    (0x10000000, "FILE_ATTRIBUTE_DIRECTORY"),
 )
 #: Machine types of programs.
 ARCHITECTURES = {34404: "AMD64", 452: "ARM", 332: "I386", 512: "IA64"}
@@ -47,14 +48,21 @@ def format_duration(days: Column) -> Column:
     return F.concat_ws(", ", *[F.when(x > 0, F.concat(x.cast("string"), F.lit(f" {n}"))) for x, n in ((d, "days"), (h, "hours"), (m, "minutes"))])
 
 
-def retention_days(period: Column, max_entries: Column, default_period: float, default_entries: float) -> Column:
-    return F.coalesce(period.cast("double"), F.lit(float(default_period))) * F.coalesce(max_entries.cast("double"), F.lit(float(default_entries))) / 3600 / 24
+#: Seconds of a period and entries kept, without and with long term, where nothing else is set.
+RETENTION = {"Tier2": (3600.0, 1440.0), "Tier2LongTerm": (604_800.0, 260.0)}
+
+
+def retention_days(extension: tuple[Column, Column], parameters: tuple[Column, Column], tier: str = "Tier2") -> Column:
+    """Days that a table's records are kept: (period, entries) of the table's own settings, else of the
+    common parameters, else the defaults."""
+    period, entries = (F.coalesce(e.try_cast("double"), p.try_cast("double"), F.lit(d)) for e, p, d in zip(extension, parameters, RETENTION[tier]))
+    return period * entries / 3600 / 24
 
 
 def hex_version(text: Column) -> Column:
-    """Sixteen hex digits as ``a.b.c.d``."""
+    """Sixteen hex digits as ``a.b.c.d``; any other text as it stands."""
     parts = [F.conv(F.substring(text, 1 + 4 * i, 4), 16, 10) for i in range(4)]
-    return F.when(text.rlike("^[0-9A-Fa-f]{16}$"), F.concat_ws(".", *parts))
+    return F.when(text.rlike("^[0-9A-Fa-f]{16}$"), F.concat_ws(".", *parts)).otherwise(text)
 
 
 def architecture(machine: Column) -> Column:
@@ -65,8 +73,9 @@ def architecture(machine: Column) -> Column:
 
 
 def flag_names(bits: Column, flags=FILE_FLAGS) -> Column:
-    """Names of the set bits joined by `` | ``."""
-    return F.concat_ws(" | ", *[F.when(bits.bitwiseAND(F.lit(b)) != 0, n) for b, n in flags])
+    """Names of the set bits joined by `` | ``; ``NONE`` without any; null for null."""
+    names = F.concat_ws(" | ", *[F.when(bits.cast("bigint").bitwiseAND(F.lit(b).cast("bigint")) != 0, n) for b, n in flags])
+    return F.when(bits.isNotNull(), F.when(names == "", F.lit("NONE")).otherwise(names))
 
 
 def sha1_of_file_id(file_id: Column) -> Column:
@@ -88,6 +97,18 @@ def is_program_entry(text: Column) -> Column:
     return (F.length(text) >= 50) & text.rlike(r"^[0-9A-Fa-f]{8}\b") & (F.size(F.split(F.trim(text), r"\s+")) >= 6)
 
 
+def program_fields(text: Column) -> dict[str, Column]:
+    """The fields of a program's cache entry; null for entries that are none."""
+    parts = F.split(F.trim(text), r"\s+")
+    entry = is_program_entry(text)
+    field = lambda i: F.when(entry, F.get(parts, F.lit(i)))
+    machine = F.when(F.length(field(3)) == 4, F.conv(field(3), 16, 10).try_cast("int"))
+    return {
+        "program_version": hex_version(field(1)), "sdk_version": hex_version(field(2)), "architecture": F.when(machine.isNotNull(), architecture(machine)),
+        "program_name": field(4), "publisher_id": field(5), "neutral": F.when(F.get(parts, F.lit(6)).isNotNull() & entry, field(6) == "neutral"),
+    }
+
+
 def bytes_to_hex(data: Column) -> Column:
     return F.lower(F.hex(data))
 
@@ -96,6 +117,19 @@ def utf16_text(data: Column) -> Column:
     return F.decode(data, "UTF-16LE")
 
 
+def size_text(n: Column) -> Column:
+    """A number of bytes in the largest unit that leaves at least one, with two decimals above bytes."""
+    out = F.concat(n.cast("string"), F.lit(" B"))
+    for k, unit in enumerate(("KB", "MB", "GB", "TB"), 1):
+        out = F.when(n >= 1024**k, F.concat(F.format_string("%.2f", n / float(1024**k)), F.lit(f" {unit}"))).otherwise(out)
+    return out
+
+
+def record_key(source: Column, record_id: Column) -> Column:
+    """The same id for the same document in every run."""
+    return F.sha2(F.concat_ws("\0", source, F.coalesce(record_id.cast("string"), F.lit(""))), 256)
+
+
 def sid_text(data: Column) -> Column:
     """A binary security identifier as ``S-rev-authority-sub-…``; null when too short."""
     h = F.hex(data)

@@ -1,23 +1,32 @@
 """Artefact files: discovery, kinds, and readers that give one row per document.
 
-Every reader returns source, kind, record_id, timestamp and data (JSON text). Files are
-read by executors; JSON and XML documents are split out there as well.
+Every reader returns source, kind, record_id, timestamp and data (JSON text). The driver
+only lists files and cuts them into ranges; tasks read their range from the shared store,
+pass documents on in small batches, and never hold a file as one row. JSON Lines, event
+logs and file tables are cut into ranges of ``SPLIT`` bytes; registry hives, ESE databases,
+JSON and XML documents are read whole by one task each.
 """
 
 from __future__ import annotations
 
 import json
 from collections.abc import Iterable, Iterator, Sequence
-from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
+
+from tracequarry.sources import store
 
 #: Kinds of artefact files by extension.
 KINDS = {
     "evtx": ("evt", "evtx"), "hve": ("hve",), "json": ("json",), "jsonl": ("jsonl",), "mft": ("mft", "bin"), "xml": ("xml",), "esedb": ("dat", "edb"),
 }
 DOCUMENT = "source string, kind string, record_id bigint, timestamp string, data string, error string"
+#: Kinds whose files are cut into ranges.
+DIVISIBLE = ("jsonl", "evtx", "mft")
+#: Documents, and characters of them, that are passed on at once.
+BATCH, BATCH_CHARACTERS = 5_000, 16_000_000
 
 
 def kind_of(path: Column) -> Column:
@@ -29,47 +38,61 @@ def kind_of(path: Column) -> Column:
     return F.when(path.rlike(r"(^|[/\\])\$MFT$"), "mft").otherwise(out)
 
 
-def discover(paths: Sequence[str], extensions: Sequence[str] | None = None, skip_errors: bool = False) -> list[str]:
-    """Files at or under paths, sorted; extensions compare with letter case and without a dot."""
-    out = []
-    for p in map(Path, paths):
-        if not p.exists():
-            if skip_errors:
-                continue
-            raise FileNotFoundError(str(p))
-        found = sorted(x for x in p.rglob("*") if x.is_file()) if p.is_dir() else [p]
-        out += [str(x) for x in found if not extensions or x.suffix[1:] in extensions or (x.name == "$MFT" and "$MFT" in extensions)]
-    return sorted(out)
+def kind_of_path(path: str) -> str:
+    """:func:`kind_of` for one path."""
+    name = path.replace("\\", "/").rpartition("/")[2]
+    if name == "$MFT":
+        return "mft"
+    ext = name.rpartition(".")[2].lower() if "." in name else ""
+    return next((k for k, v in KINDS.items() if ext in v), "unknown")
+
+
+def extensions_of(kind: str) -> list[str]:
+    """The extensions of a kind's files; file tables are also known by their name."""
+    return [*KINDS.get(kind, ()), *(["$MFT"] if kind == "mft" else [])]
 
 
-def _whole_files(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
-    return spark.read.format("binaryFile").load(list(paths)).select(F.col("path"), F.col("content"))
+def discover(paths: Sequence[str], extensions: Sequence[str] | None = None, skip_errors: bool = False) -> list[str]:
+    """Files at or under paths, sorted; extensions compare with letter case and without a dot."""
+    return [p for p, _ in store.discover_sized([str(p) for p in paths], extensions, skip_errors)]
 
 
 def _refuse(name: str):
     raise ValueError(name)
 
 
-def json_documents(content: bytes, lines: bool) -> Iterator[tuple[int | None, str | None, str | None]]:
-    """(record id, JSON text, error). Arrays give one document per element. In JSON Lines blank
-    lines are skipped, ids are line numbers, and an unreadable line ends the file with an error."""
-    if lines:
-        for n, line in enumerate(content.decode("utf-8", "replace").splitlines(), 1):
-            if not line.strip():
-                continue
-            try:
-                yield n, json.dumps(json.loads(line, parse_constant=_refuse), ensure_ascii=False, separators=(",", ":")), None
-            except ValueError as e:
-                yield n, None, f"line {n}: {e}"
-                return
-        return
+def compact(value) -> str:
+    return json.dumps(value, ensure_ascii=False, separators=(",", ":"))
+
+
+def _loads(text: str):
+    return json.loads(text, parse_constant=_refuse)
+
+
+def json_lines(source: store.Source, start: int, length: int) -> Iterator[tuple[int, str | None, str | None]]:
+    """(line in the range from 1, JSON text, error) of a range; blank lines give nothing; an unreadable line ends it."""
+    for n, line in enumerate(source.lines(start, length), 1):
+        if not line.strip():
+            continue
+        try:
+            yield n, compact(_loads(line.decode("utf-8", "replace"))), None
+        except (ValueError, RecursionError) as e:
+            yield n, None, str(e)
+            return
+
+
+def json_documents(source: store.Source) -> Iterator[tuple[int | None, str | None, str | None]]:
+    """(record id, JSON text, error). An array gives one document per element, anything else is one."""
     try:
-        value = json.loads(content.decode("utf-8"), parse_constant=_refuse)
-    except ValueError as e:
+        value = _loads(source.read(0, source.size).decode("utf-8-sig"))
+    except (ValueError, RecursionError) as e:
         yield None, None, str(e)
         return
-    for i, item in enumerate(value) if isinstance(value, list) else [(None, value)]:
-        yield i, json.dumps(item, ensure_ascii=False, separators=(",", ":")), None
+    if isinstance(value, list):
+        for i, item in enumerate(value):
+            yield i, compact(item), None
+    else:
+        yield None, compact(value), None
 
 
 def element_value(e) -> object:
@@ -113,47 +136,215 @@ def xml_document(content: bytes) -> tuple[int | None, str | None, str | None]:
         return None, None, "entity declarations are not allowed"
     try:
         root = ET.fromstring(content)
-    except ET.ParseError as e:
+        return None, compact({root.tag.rpartition("}")[2]: element_value(root)}), None
+    except (ET.ParseError, RecursionError) as e:
         return None, None, str(e)
-    return None, json.dumps({root.tag.rpartition("}")[2]: element_value(root)}, ensure_ascii=False, separators=(",", ":")), None
 
 
-def read(spark: SparkSession, paths: Sequence[str], kind: str | None = None, extensions: Sequence[str] | None = None, skip_errors: bool = False, load_unknown: bool = False) -> DataFrame:
-    """Documents of JSON, JSON Lines, XML and file-table files.
+def sniff(source: store.Source) -> list[str]:
+    """The kinds that a file of unknown name may be of, likeliest first, by what it begins with."""
+    head = source.read(0, 4096)
+    text = head.lstrip(b"\xef\xbb\xbf \t\r\n")
+    if head.startswith(b"ElfFile\0"):
+        return ["evtx"]
+    if head[:4] in (b"FILE", b"BAAD"):
+        return ["mft"]
+    if head.startswith(b"regf"):
+        return ["hve"]
+    if head[4:8] == b"\xef\xcd\xab\x89":
+        return ["esedb"]
+    return ["xml", "json"] if text.startswith(b"<") else ["json", "xml"]
+
+
+def _event_log(source: store.Source, start: int, length: int) -> Iterator[tuple]:
+    from tracequarry.sources import evtx
+
+    if source.read(0, 8) != evtx.FILE_MAGIC:
+        if start == 0:
+            yield None, None, None, "not an event log"
+        return
+    for at in evtx.chunk_starts(source.size):
+        if start <= at < start + length:
+            try:
+                chunk = evtx.Chunk(source.read(at, evtx.CHUNK))
+            except evtx.Damaged:
+                continue  # space that was never written
+            for number, time, value, error in chunk.records():
+                yield number, time, None if value is None else compact(value), error
+
+
+def _documents(path: str, kind: str, start: int, length: int, resident_data: bool, unknown: bool) -> Iterator[tuple]:
+    """(kind, record id, timestamp, data, error), and a file-table entry's (parent, name), of one range of a file."""
+    with store.Source(path) as source:
+        if kind == "unknown" and not unknown:
+            yield kind, None, None, None, "file type is not currently supported"
+            return
+        for of in sniff(source) if kind == "unknown" else [kind]:
+            got = _of_kind(source, path, of, start, length, resident_data)
+            first = next(got, None)
+            if kind == "unknown" and (first is None or first[3]):
+                continue  # not of that kind after all
+            if first is not None:
+                yield of, *first
+                for rest in got:
+                    yield of, *rest
+            return
+        yield kind, None, None, None, "file type is not currently supported"
+
+
+def _of_kind(source: store.Source, path: str, kind: str, start: int, length: int, resident_data: bool) -> Iterator[tuple]:
+    """(record id, timestamp, data, error)."""
+    if kind == "jsonl":
+        for n, text, error in json_lines(source, start, length):
+            yield n, None, text, error
+    elif kind == "json":
+        for n, text, error in json_documents(source):
+            yield n, None, text, error
+    elif kind == "xml":
+        n, text, error = xml_document(source.read(0, source.size))
+        yield n, None, text, error
+    elif kind == "evtx":
+        yield from _event_log(source, start, length)
+    elif kind == "mft":
+        from tracequarry.sources import mft
+
+        try:
+            for e, link in mft.range_entries(source, start, length, resident_data):
+                yield e["EntryId"], None, compact(e), None, link
+        except ValueError as e:
+            yield None, None, None, str(e)
+    elif kind == "hve":
+        from tracequarry.sources import hive
+
+        yield from hive.documents(source, hive.logs_of(path))
+    elif kind == "esedb":
+        from tracequarry.sources import ese
+
+        yield from ese.documents(source)
+    else:
+        yield None, None, None, "file type is not currently supported"
+
+
+def ranges(files: Sequence[tuple[str, int]], kind: str | None, split: int) -> list[tuple[str, str, int, int]]:
+    """(path, kind, start, bytes) of the ranges that tasks read."""
+    out = []
+    for path, size in files:
+        of = kind or kind_of_path(path)
+        step = split if of in DIVISIBLE else max(size, 1)
+        out += [(path, of, at, step) for at in range(0, max(size, 1), step)]
+    return out
+
+
+def read(
+    spark: SparkSession,
+    paths: Sequence[str],
+    kind: str | None = None,
+    extensions: Sequence[str] | None = None,
+    skip_errors: bool = False,
+    load_unknown: bool = False,
+    resident_data: bool = False,
+    split: int = store.SPLIT,
+) -> DataFrame:
+    """Documents of event-log, registry, ESE, file-table, JSON, JSON Lines and XML files.
 
     The kind comes from the file's name unless given; with ``load_unknown`` other files are
-    tried as JSON and then XML. An unreadable file gives one row with ``error`` and no data,
-    which ``skip_errors`` leaves out."""
-    files = discover(paths, extensions, skip_errors)
+    taken for what they begin with. An unreadable file gives one row with ``error`` and no
+    data, which ``skip_errors`` leaves out. JSON Lines end at their first unreadable line,
+    and their record ids are line numbers, also where a file is read in ranges. The paths
+    of file-table entries in files of more than one range come from the parent-child
+    operator, so no task holds a whole table's names.
+    """
+    files = store.discover_sized([str(p) for p in paths], extensions, skip_errors)
     if not files:
         return spark.createDataFrame([], DOCUMENT)
-    content = _whole_files(spark, files).withColumn("kind", F.lit(kind) if kind else kind_of(F.col("path")))
+    todo = ranges(files, kind, split)
+    tasks = max(1, min(len(todo), 50 * spark.sparkContext.defaultParallelism))
+    table = spark.createDataFrame(todo, "source string, kind string, start bigint, length bigint").repartition(tasks, "source", "start")
 
     def run(batches: Iterable) -> Iterator:
-        import pandas as pd
+        import pyarrow as pa
 
-        from tracequarry.sources import mft
+        names = ("source", "kind", "start", "record_id", "timestamp", "data", "error", "parent", "name")
+        types = (pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.string())
+        rows: list[tuple] = []
+        held = 0
+
+        def flush():
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
+
+        for b in batches:
+            for path, of, start, length in zip(*(c.to_pylist() for c in b.columns)):
+                try:
+                    for found, number, time, data, error, *link in _documents(path, of, start, length, resident_data, load_unknown):
+                        parent, name = (link[0] if link else None) or (None, None)
+                        rows.append((path, found, start, number, time, data, error, parent, name))
+                        held += len(data or "")
+                        if len(rows) >= BATCH or held >= BATCH_CHARACTERS:
+                            yield flush()
+                            rows.clear()
+                            held = 0
+                except OSError as e:
+                    rows.append((path, of, start, None, None, None, str(e), None, None))
+        if rows:
+            yield flush()
+
+    got = table.mapInArrow(run, "source string, kind string, start bigint, record_id bigint, timestamp string, data string, error string, parent bigint, name string")
+    cut = {path for path, _, start, _ in todo if start}
+    if any(of == "jsonl" and start for _, of, start, _ in todo):
+        got = _numbered(got, table.where("kind = 'jsonl'"))
+    else:
+        got = got.withColumn("error", F.when((F.col("kind") == "jsonl") & F.col("error").isNotNull(), F.concat(F.lit("line "), F.col("record_id").cast("string"), F.lit(": "), F.col("error"))).otherwise(F.col("error")))
+    if any(of == "mft" for path, of, _, _ in todo if path in cut):
+        got = _with_paths(got)
+    out = got.drop("start", "parent", "name")
+    return out.where(F.col("error").isNull()) if skip_errors else out
+
+
+def _numbered(rows: DataFrame, table: DataFrame) -> DataFrame:
+    """Line numbers within files for lines numbered within ranges, and nothing behind a file's first unreadable line.
+
+    Joined by (file, range) with one small row per range."""
+
+    def count(batches: Iterable) -> Iterator:
+        import pyarrow as pa
+
+        for b in batches:
+            out = []
+            for path, _, start, length in zip(*(c.to_pylist() for c in b.columns)):
+                n, bad = 0, None
+                with store.Source(path) as source:
+                    for n, line in enumerate(source.lines(start, length), 1):
+                        if bad is None and line.strip():
+                            try:
+                                _loads(line.decode("utf-8", "replace"))
+                            except (ValueError, RecursionError):
+                                bad = n
+                out.append((path, start, n, bad))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.string(), pa.int64(), pa.int64(), pa.int64()))], names=["source", "start", "n", "bad"])
+
+    before = W.partitionBy("source").orderBy("start").rowsBetween(W.unboundedPreceding, -1)
+    counts = table.mapInArrow(count, "source string, start bigint, n bigint, bad bigint").withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    counts = counts.withColumn("__end", F.min(F.col("before") + F.col("bad")).over(W.partitionBy("source"))).select("source", "start", "before", "__end")
+    lines = F.col("kind") == "jsonl"
+    joined = rows.join(counts, ["source", "start"], "left")
+    number = F.when(lines, F.col("record_id") + F.col("before")).otherwise(F.col("record_id"))
+    joined = joined.withColumn("record_id", number).where(~lines | F.col("__end").isNull() | (F.col("record_id") <= F.col("__end")))
+    text = F.concat(F.lit("line "), F.col("record_id").cast("string"), F.lit(": "), F.col("error"))
+    return joined.withColumn("error", F.when(lines & F.col("error").isNotNull(), text).otherwise(F.col("error"))).select(*rows.columns)
+
+
+def _with_paths(rows: DataFrame) -> DataFrame:
+    """Full paths for the file-table entries that have none yet, from their parent links."""
+    from tracequarry.operators.hierarchy import hierarchy
+    from tracequarry.sources import mft
 
-        for pdf in batches:
-            rows = []
-            for path, data, of in zip(pdf["path"], pdf["content"], pdf["kind"]):
-                if of in ("json", "jsonl"):
-                    docs = json_documents(data, of == "jsonl")
-                elif of == "xml":
-                    docs = [xml_document(data)]
-                elif of == "mft":
-                    docs = ((e["EntryId"], json.dumps(e), None) for e in mft.entries(data))
-                elif load_unknown:
-                    docs = list(json_documents(data, False))
-                    if docs and docs[0][2]:
-                        docs = [xml_document(data)]
-                else:
-                    docs = [(None, None, "file type is not currently supported")]
-                for rid, text, error in docs:
-                    if error is None or not skip_errors:
-                        rows.append((path, of, rid, None, text, error))
-            out = pd.DataFrame(rows, columns=["source", "kind", "record_id", "timestamp", "data", "error"], dtype=object)
-            out["record_id"] = out["record_id"].astype("Int64")
-            yield out
-
-    return content.mapInPandas(run, DOCUMENT)
+    open_ = (F.col("kind") == "mft") & F.col("data").isNotNull() & ~F.col("data").contains('"FullPath":')
+    parent = F.col("parent")
+    links = rows.where(open_ & F.col("name").isNotNull()).select(
+        F.xxhash64("source").alias("g"), F.col("record_id").alias("v"), F.when((parent != mft.ROOT_ENTRY) & (parent != F.col("record_id")), parent).alias("p"), "name"
+    )
+    paths = hierarchy(links, "g", "v", "p", "name").select(F.col("g").alias("__g"), F.col("v").alias("__v"), F.struct(F.col("path").alias("FullPath")).alias("__path"))
+    joined = rows.withColumn("__k", F.when(open_, F.xxhash64("source"))).join(paths, (F.col("__k") == F.col("__g")) & (F.col("record_id") == F.col("__v")), "left")
+    member = F.coalesce(F.to_json("__path"), F.lit('{"FullPath":""}'))
+    whole = F.concat(F.expr("substring(data, 1, length(data) - 1)"), F.lit(","), F.substring(member, 2, 2**31 - 1))
+    return joined.withColumn("data", F.when(open_, whole).otherwise(F.col("data"))).select(*rows.columns)
