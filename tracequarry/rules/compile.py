@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tracequarry.rules.ir import And, AtLeast, CastOk, Compare, Const, Exists, Matrix, Nested, Node, Not, Or, Ref, Text
+from tracequarry.rules.ir import And, AtLeast, CastOk, Compare, Const, Exists, Matrix, Nested, Node, Not, Null, Number, Or, Ref, Text
 
 _LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -28,6 +28,27 @@ def _fold(text: str) -> str:
     return text.translate(str.maketrans(_LETTERS, _LETTERS.lower()))
 
 
+def double_text(x: Column) -> Column:
+    """A floating-point number as rules see it: six significant digits without trailing zeros, ``1e+08`` from a million on."""
+    short = F.format_string("%.5e", x)
+    power = F.substring_index(short, "e", -1).cast("int")
+    fixed = None
+    for k in range(-4, 6):
+        digits = F.format_string(f"%.{5 - k}f", short.cast("double"))
+        fixed = F.when(power == k, digits) if fixed is None else fixed.when(power == k, digits)
+    plain = F.regexp_replace(F.regexp_replace(fixed, r"(\.\d*?)0+$", "$1"), r"\.$", "")
+    return F.when(x == 0, F.lit("0")).when(F.isnan(x), F.lit("nan")).when(F.abs(x) == float("inf"), F.when(x > 0, "inf").otherwise("-inf")).otherwise(
+        F.coalesce(plain, F.regexp_replace(short, r"\.?0+e", "e"))
+    )
+
+
+def value_text(column: Column, kind: T.DataType) -> Column:
+    """A value as the text that text tests look at."""
+    if isinstance(kind, T.StringType):
+        return column
+    return double_text(column.cast("double")) if isinstance(kind, (T.DoubleType, T.FloatType)) else column.cast("string")
+
+
 class TypedFields:
     """Fields of a table with a schema: dotted paths become struct accesses, so scans are pruned and filtered."""
 
@@ -178,10 +199,10 @@ class Compiler:
         if isinstance(kind, T.VariantType):
             return F.when(column.getField("a").isNotNull(), F.exists(column.getField("a"), test)).otherwise(test(column.getField("s")))
         if isinstance(kind, T.ArrayType):
-            return F.exists(column, lambda x: test(x.cast("string")))
+            return F.exists(column, lambda x: test(value_text(x, kind.elementType)))
         if isinstance(kind, (T.StructType, T.MapType)):
             return F.lit(False)
-        return test(column if isinstance(kind, T.StringType) else column.cast("string"))
+        return test(value_text(column, kind))
 
     def _number(self, path: str, whole: bool) -> Column:
         column, kind = self.fields.value(path)
@@ -216,6 +237,10 @@ class Compiler:
                 return ~F.coalesce(self._node(item, prefix), F.lit(False))
             case Const(value):
                 return F.lit(value)
+            case Number():
+                return F.lit(True)
+            case Null():
+                return F.lit(False)
             case Exists(path):
                 return self._present(at(path))
             case CastOk(kind, path):

@@ -34,6 +34,18 @@ class Const:
     value: bool
 
 
+@dataclass(frozen=True)
+class Number:
+    """A number standing alone as a test: true."""
+
+    value: float
+
+
+@dataclass(frozen=True)
+class Null:
+    """Null standing alone as a test: false."""
+
+
 @dataclass(frozen=True)
 class Ref:
     """A named block of the same detection."""
@@ -147,6 +159,10 @@ def show(node: Node) -> str:
             return f"not {show(item)}"
         case Const(value):
             return str(value).lower()
+        case Number(value):
+            return f"{value:g}"
+        case Null():
+            return "null"
         case Ref(name):
             return name
         case Exists(path):

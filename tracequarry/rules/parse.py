@@ -7,7 +7,7 @@ from dataclasses import dataclass, field
 from pathlib import Path
 
 from tracequarry.rules.compile import portable_regex
-from tracequarry.rules.ir import And, AtLeast, CastOk, Compare, Const, Exists, Nested, Node, Not, Or, Ref, Text
+from tracequarry.rules.ir import And, AtLeast, CastOk, Compare, Const, Exists, Nested, Node, Not, Null, Number, Or, Ref, Text
 from tracequarry.rules.optimize import optimize
 
 LEVELS = ("critical", "high", "medium", "low", "info")
@@ -213,6 +213,13 @@ def parse_condition(text: str, names: set[str]) -> Node:
             return And(refs) if n is None else AtLeast(n, refs)
         if token in (")", ",", "and", "or"):
             raise RuleError(f"unexpected {token!r} in the condition {text!r}")
+        if token not in names:  # literals, unless a block has such a name
+            if token in ("true", "false"):
+                return Const(token == "true")
+            if token == "null":
+                return Null()
+            if re.fullmatch(r"[+-]?\d+(\.\d+)?", token):
+                return Number(float(token))
         return Ref(token)
 
     out = either()
@@ -283,6 +290,12 @@ def rule_files(path: str | Path) -> list[Path]:
     return [p]
 
 
+def load_patterns(path: str | Path) -> list[str]:
+    """The patterns of a file, one a line; blank lines and those that begin with ``#`` are left out."""
+    lines = (line.rstrip("\r\n") for line in Path(path).read_text(encoding="utf-8").split("\n"))
+    return [portable_regex(line) for line in lines if line.strip() and not line.startswith("#")]
+
+
 def load_rules(path: str | Path, engine: str = "native", kinds=None, levels=None, statuses=None) -> list[Rule]:
     """All rules under a path, sorted by name, of the wanted kinds, levels and statuses."""
     import yaml
