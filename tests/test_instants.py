@@ -89,7 +89,7 @@ def test_filetimes_of_all_rows_are_converted(spark, data):
     from tracequarry.plans import catalogue
     from tracequarry.runtime import table
 
-    got = catalogue.queries()["filetime_text_all"](spark, data)
+    got = catalogue.queries()["filetime_text"](spark, data)
     assert got.count() == table(spark, data, "mft_entries").count()
     outside = got.join(table(spark, data, "mft_entries").where("file_name_created_ft <= 0"), "row_id")
     assert outside.where("created IS NOT NULL").count() == 0

@@ -228,7 +228,7 @@ class Compiler:
                 return balanced([self._node(x, prefix) for x in items], "and") if items else F.lit(True)
             case Or(items):
                 lists, rest = _equalities(items)
-                tests = [self._on_values(at(path), lambda v, ws=ws, ig=ig: (ascii_lower(v) if ig else v).isin(*ws)) if how == "text" else self._number(at(path), True).isin(*ws) for (how, path, ig), ws in lists]
+                tests = [self._on_values(at(path), _one_of(ws, ig)) if how == "text" else self._number(at(path), True).isin(*ws) for (how, path, ig), ws in lists]
                 tests += [self._node(x, prefix) for x in rest]
                 return balanced(tests, "or") if tests else F.lit(False)
             case AtLeast(n, items):
@@ -263,6 +263,10 @@ class Compiler:
         raise TypeError(f"not an expression: {node!r}")
 
 
+def _one_of(values: list[str], ignore_case: bool):
+    return lambda v: (ascii_lower(v) if ignore_case else v).isin(*values)
+
+
 def _equalities(items: tuple) -> tuple[list, list]:
     """Equalities of one field with three or more values as lists of values, and the other items."""
     groups: dict[tuple, list] = {}

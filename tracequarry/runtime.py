@@ -13,20 +13,32 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the reliable checkpoint folder and return it without lineage.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share: the session's ``spark.checkpoint.dir``.
 
-    The folder is the session's ``spark.checkpoint.dir``, which every executor
-    shares, so a lost executor loses nothing. Only where it is unset (local tests)
-    a folder of our own is used, and only with a local master.
-    """
-    spark = df.sparkSession
+    Only where it is unset (local tests) a folder of our own is used, and only with a local
+    master."""
     context = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not named:
+        if not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        named = tempfile.mkdtemp(prefix="tracequarry-ckpt-", dir=os.environ.get("TMPDIR"))
     if context.getCheckpointDir() is None:
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        if not named:
-            if not context.master.startswith("local"):
-                raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-            named = tempfile.mkdtemp(prefix="tracequarry-ckpt-", dir=os.environ.get("TMPDIR"))
         context.setCheckpointDir(named)
+    return named
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the reliable checkpoint folder (see :func:`shared_folder`) and return it without lineage.
+
+    A lost executor loses nothing. With ``spark.cleaner.referenceTracking.cleanCheckpoints``
+    on, which :func:`clean_checkpoints` reports, Spark deletes a checkpoint once nothing
+    refers to it any more."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def clean_checkpoints(spark: SparkSession) -> bool:
+    """Whether the session deletes checkpoints that are out of use; it must be set before the session starts."""
+    return spark.sparkContext.getConf().get("spark.cleaner.referenceTracking.cleanCheckpoints", "false") == "true"
