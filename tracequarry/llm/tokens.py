@@ -213,3 +213,19 @@ def token_counts(documents: DataFrame, vocabulary: str = "byte_bpe_50k", key: st
 
     rows = documents.select(F.col(key), F.col(text).cast("string"))
     return rows.mapInArrow(run, f"`{key}` {rows.schema[0].dataType.simpleString()}, n_tokens bigint")
+
+
+def token_texts(encoded: DataFrame, vocabulary: str = "byte_bpe_50k", key: str = "doc_id", ids: str = "ids", folder: str = FOLDER) -> DataFrame:
+    """``key`` and ``text``: the texts that lists of ids stand for; an empty list is an empty text, null stays null."""
+    path = vocabulary_path(vocabulary, folder)
+
+    def run(batches: Iterable) -> Iterator:
+        import pyarrow as pa
+
+        base = encoder(path).base
+        for b in batches:
+            texts = [None if x is None else base.decode_bytes(x).decode("utf-8", "replace") for x in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string())], names=[key, "text"])
+
+    rows = encoded.select(F.col(key), F.col(ids))
+    return rows.mapInArrow(run, f"`{key}` {rows.schema[0].dataType.simpleString()}, text string")
