@@ -205,5 +205,40 @@ def test_all_events_are_mapped(spark, data):
     from tracequarry.plans import catalogue
     from tracequarry.runtime import table
 
-    got = catalogue.queries()["mapper_container_json_all"](spark, data)
+    got = catalogue.queries()["mapper_container_json"](spark, data)
     assert got.columns == ["event_id", "k", "kind", "usr"] and got.count() == table(spark, data, "events").count()
+
+
+def test_lists_of_texts_are_one_pass(spark):
+    from tracequarry.rules.compile import Compiler, TypedFields
+    from tracequarry.rules.ir import Or, Text
+
+    rows = ["a.b", "axb", "C:\\Temp\\x.exe", "x.EXE", "ünï(1)", "line\nend", "", None, "q^$", "say $5|6"]
+    df = spark.createDataFrame([(v,) for v in rows], "f string")
+    c = Compiler(TypedFields(df.schema))
+    for how, values in (("contains", ["a.b", "(1)", "$5|6", "\\temp"]), ("startswith", ["c:", "ü", "q^"]), ("endswith", [".exe", "end", "^$"])):
+        for ignore in (False, True):
+            node = Or(tuple(Text("f", how, v, ignore) for v in values))
+            fold = (lambda x: "".join(ch.lower() if ch.isascii() else ch for ch in x)) if ignore else (lambda x: x)
+            test = {"contains": lambda a, b: b in a, "startswith": str.startswith, "endswith": str.endswith}[how]
+            want = [v is not None and any(test(fold(v), fold(x)) for x in values) for v in rows]
+            assert [r[0] for r in df.select(c.truth(node)).collect()] == want, (how, ignore)
+            assert "RLike" in df.where(c.predicate(node))._jdf.queryExecution().optimizedPlan().toString() or "rlike" in df.where(c.predicate(node))._jdf.queryExecution().optimizedPlan().toString().lower()
+
+
+def test_literals_and_pattern_files(tmp_path):
+    from tracequarry.rules.ir import Const
+    from tracequarry.rules.parse import load_patterns, parse_filter
+
+    assert parse_filter({"condition": "a or null", "a": {"x": "1"}}) == parse_filter({"condition": "a or null", "a": {"x": "1"}})
+    assert parse_filter({"condition": "true", "a": {"x": "1"}}) == Const(True)
+    (tmp_path / "p").write_text("# no\n\n  \na+b\r\nc\n")
+    assert load_patterns(tmp_path / "p") == ["a+b", "c"]
+
+
+def test_hunt_reads_one_scan_with_filters(spark, data):
+    from tracequarry.plans import engine_queries as q
+
+    for name in ("hunt_500_rules", "hunt_multi_rule"):
+        plan = q.QUERIES[name](spark, data)._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("FileScan") == 1 and "PushedFilters: []" not in plan

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tracequarry.operators import hierarchy, instants, nested, skew, wide
 from tracequarry.plans.nested_sql import nested_rows
+from tracequarry.plans.wide_sql import found_cells
 from tracequarry.runtime import table
 
 #: The wanted attributes of registry keys by kind.
@@ -109,6 +110,7 @@ def p6_descendants(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p4_found": p4_found, "p5_found": p5_found, "p6_found": p6_found, "p6_descendants": p6_descendants}
 
 ORACLE_SQL = {
+    "p1_found": found_cells(REGISTRY_ATTRIBUTES),
     "p5_found": nested_rows(),
     "p4_found": """
         WITH keyed AS (

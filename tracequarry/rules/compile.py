@@ -228,7 +228,7 @@ class Compiler:
                 return balanced([self._node(x, prefix) for x in items], "and") if items else F.lit(True)
             case Or(items):
                 lists, rest = _equalities(items)
-                tests = [self._on_values(at(path), _one_of(ws, ig)) if how == "text" else self._number(at(path), True).isin(*ws) for (how, path, ig), ws in lists]
+                tests = [self._number(at(path), True).isin(*ws) if how == "number" else self._on_values(at(path), _one_of(ws, ig, how)) for (how, path, ig), ws in lists]
                 tests += [self._node(x, prefix) for x in rest]
                 return balanced(tests, "or") if tests else F.lit(False)
             case AtLeast(n, items):
@@ -263,21 +263,33 @@ class Compiler:
         raise TypeError(f"not an expression: {node!r}")
 
 
-def _one_of(values: list[str], ignore_case: bool):
-    return lambda v: (ascii_lower(v) if ignore_case else v).isin(*values)
+#: Regular expressions around an alternation, by how its texts are looked for.
+_ALTERNATIONS = {"contains": "(?s)(?:{})", "startswith": "(?s)^(?:{})", "endswith": r"(?s)(?:{})\z"}
+
+
+def _one_of(values: list[str], ignore_case: bool, how: str):
+    if how == "text":
+        return lambda v: (ascii_lower(v) if ignore_case else v).isin(*values)
+    pattern = _ALTERNATIONS[how].format("|".join(re.sub(r"([^\w\s])", r"\\\1", x, flags=re.ASCII) if x.isascii() else "".join(c if c.isalnum() or c == " " or not c.isascii() else "\\" + c for c in x) for x in values))
+    return lambda v: (ascii_lower(v) if ignore_case else v).rlike(pattern)
 
 
 def _equalities(items: tuple) -> tuple[list, list]:
-    """Equalities of one field with three or more values as lists of values, and the other items."""
+    """Tests of one field against three or more values as lists of values, and the other items.
+
+    Equalities become a list of values; texts to be contained, or to begin or end with, one
+    alternation, which a single pass over the field's text tests."""
     groups: dict[tuple, list] = {}
     for x in items:
-        if isinstance(x, Text) and x.how == "exact":
+        if isinstance(x, Text) and x.how in _ALTERNATIONS:
+            groups.setdefault((x.how, x.path, x.ignore_case), []).append(x)
+        elif isinstance(x, Text) and x.how == "exact":
             groups.setdefault(("text", x.path, x.ignore_case), []).append(x)
         elif isinstance(x, Compare) and x.op == "==" and x.whole and abs(x.value) < 2**53:
             groups.setdefault(("number", x.path, False), []).append(x)
     groups = {k: v for k, v in groups.items() if len(v) >= 3}
     taken = {id(x) for v in groups.values() for x in v}
-    lists = [(k, [_fold(x.value) if k[2] else x.value if k[0] == "text" else int(x.value) for x in v]) for k, v in groups.items()]
+    lists = [(k, [int(x.value) if k[0] == "number" else _fold(x.value) if k[2] else x.value for x in v]) for k, v in groups.items()]
     return lists, [x for x in items if id(x) not in taken]
 
 

@@ -32,13 +32,11 @@ def shared_folder(spark: SparkSession) -> str:
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` to the reliable checkpoint folder (see :func:`shared_folder`) and return it without lineage.
 
-    A lost executor loses nothing. With ``spark.cleaner.referenceTracking.cleanCheckpoints``
-    on, which :func:`clean_checkpoints` reports, Spark deletes a checkpoint once nothing
-    refers to it any more."""
-    shared_folder(df.sparkSession)
+    A lost executor loses nothing. The files are deleted by Spark once no DataFrame refers
+    to them any more, unless the session says that checkpoints are to be kept."""
+    spark = df.sparkSession
+    shared_folder(spark)
+    setting = "spark.cleaner.referenceTracking.cleanCheckpoints"
+    if spark.sparkContext.getConf().get(setting) is None:
+        spark.sparkContext._jsc.sc().conf().set(setting, "true")
     return df.checkpoint(eager=True)
-
-
-def clean_checkpoints(spark: SparkSession) -> bool:
-    """Whether the session deletes checkpoints that are out of use; it must be set before the session starts."""
-    return spark.sparkContext.getConf().get("spark.cleaner.referenceTracking.cleanCheckpoints", "false") == "true"
