@@ -242,3 +242,53 @@ def test_hunt_reads_one_scan_with_filters(spark, data):
     for name in ("hunt_500_rules", "hunt_multi_rule"):
         plan = q.QUERIES[name](spark, data)._jdf.queryExecution().executedPlan().toString()
         assert plan.count("FileScan") == 1 and "PushedFilters: []" not in plan
+
+
+def test_field_forms_and_casts(spark):
+    from tracequarry.rules.ir import And, Nested, Text, fields, rename
+    from tracequarry.rules.mapper import map_fields
+    from tracequarry.rules.parse import RuleError, parse_field
+
+    short = parse_field({"name": "a"})
+    assert (short.source, short.to, short.name, short.cast, short.visible) == ("a", "a", "a", None, True)
+    specs = [parse_field({"name": "I", "from": "t", "to": "int(t)"}), parse_field({"name": "F", "from": "t", "to": "flt(t)"}), parse_field({"name": "S", "from": "d", "to": "str(d)"}), parse_field({"name": "no", "from": "t", "visible": False})]
+    df = spark.createDataFrame([("12abc", 1.5), (" -3.25e1x", 2.0), ("none", None)], "t string, d double")
+    assert [tuple(r) for r in map_fields(df, specs).collect()] == [("12", "12.0", "1.500000"), ("-3", "-32.5", "2.000000"), ("none", "none", None)]
+    with pytest.raises(RuleError):
+        parse_field({"name": "x", "to": "int(x)", "container": {"field": "f", "format": "json"}})
+    with pytest.raises(RuleError):
+        parse_field({})
+    node = And((Text("a", "exact", "1"), Nested("b", Text("c", "exact", "2"))))
+    assert fields(node) == {"a", "b", "b.c"}
+    assert rename(node, {"a": "x.y", "b": "z"}) == And((Text("x.y", "exact", "1"), Nested("z", Text("c", "exact", "2"))))
+
+
+def test_mapped_hunts(spark):
+    from tracequarry.operators.hunt import aggregate_hits, hunt
+    from tracequarry.rules.compile import documents_from_json
+    from tracequarry.rules.parse import parse_rule
+
+    docs = [
+        (1, '{"Event": {"System": {"TimeCreated_attributes": {"SystemTime": "2024-01-01T00:00:00Z"}, "Provider_attributes": {"Name": "P"}, "EventID": 7}, "EventData": {"Payload": "a=1; b=2", "J": "{\\"k\\": \\"v\\"}", "N": "15x"}}}'),
+        (2, '{"Event": {"System": {"TimeCreated": "2024-01-02T00:00:00Z", "Provider": "P", "EventID": 7}, "EventData": {"Payload": "b=3", "N": "9"}}}'),
+        (3, '{"Event": {"System": {"TimeCreated": "no time", "Provider": "P"}}}'), (4, None), (5, '{"a": 1, "a": 2}'),
+    ]
+    df = documents_from_json(spark.createDataFrame(docs, "i int, t string"), "t")
+    base = {"group": "g", "kind": "evtx", "level": "low", "status": "stable", "timestamp": "Event.System.TimeCreated"}
+    fields = [
+        {"name": "b", "from": "B", "to": "b", "container": {"field": "Event.EventData.Payload", "format": "kv", "delimiter": ";", "separator": "=", "trim": True}},
+        {"name": "k", "from": "K", "to": "k", "container": {"field": "Event.EventData.J", "format": "json"}}, {"name": "n", "from": "Num", "to": "int(Event.EventData.N)"},
+        {"name": "d", "from": "Data", "to": "Event.EventData"}, {"name": "q", "from": "plain"},
+    ]
+    tests = {"kv": {"B": "2"}, "json": {"K": "v"}, "cast": {"Num": ">10"}, "in": {"Data": {"N": "9"}}, "alias": {"Event.System.Provider": "P"}, "none": {"B": "9"}}
+    rules = [parse_rule({**base, "name": n, "fields": fields, "filter": {"condition": "x", "x": t}}) for n, t in tests.items()]
+    got = sorted((r.rule, r.i) for r in hunt(df, rules, variant="data").collect())
+    assert got == [("alias", 1), ("alias", 2), ("alias", 3), ("cast", 1), ("in", 2), ("json", 1), ("kv", 1)]
+    timed = hunt(df, rules, variant="data", own_time=True, start="2024-01-01T12:00:00")
+    assert sorted((r.rule, r.i, str(r.hit_ts)) for r in timed.collect()) == [("alias", 2, "2024-01-02 00:00:00"), ("in", 2, "2024-01-02 00:00:00")]
+    counted = [parse_rule({**base, "name": "c", "fields": fields, "filter": {"condition": "x", "x": {"Event.System.Provider": "P"}}, "aggregate": {"count": ">=1", "fields": ["B"]}})]
+    hits = hunt(df, counted, variant="data", own_time=True, with_keys=True)
+    assert sorted((r.key, r.n_docs) for r in aggregate_hits(hits, counted, "hit_ts").collect()) == [(["2"], 1), (["3"], 1)]
+    assert df.where("i = 5").selectExpr("variant_get(data, '$.a', 'int') AS a").first().a == 2
+    none = hunt(df, [], variant="data", own_time=True, with_keys=True)
+    assert none.columns[-2:] == ["hit_ts", "agg_key"] and none.collect() == []

@@ -229,6 +229,24 @@ def test_sinks(spark, tmp_path):
     assert "| 1 | a b |" in sinks.table_text(df)
 
 
+def test_more_sinks(spark, tmp_path):
+    hits = spark.createDataFrame([("g", "r", "high", "stable", "2024-01-01T00:00:00Z", "x" * 60 + "\n", "s")], "hunt string, rule string, level string, status string, hit_ts string, text string, source string")
+    shown = sinks.hunt_table(sinks.cached(hits), "hit_ts", ["text"]).first()
+    assert (shown.timestamp, shown.detections, len(shown.text)) == ("2024-01-01T00:00:00Z", "g: r", 40)
+    sinks.write_yaml(hits.select("rule"), str(tmp_path / "y"))
+    assert "".join(f.read_text() for f in (tmp_path / "y").glob("part-*")).startswith('---\n{')
+    sinks.write_log(hits, str(tmp_path / "l"))
+    assert "".join(f.read_text() for f in (tmp_path / "l").glob("part-*")) == "2024-01-01T00:00:00Z\tg\tr\ts\n"
+    for rows in ([], [1], [3, 1, 2]):
+        sinks.write_json_array(spark.createDataFrame([(i,) for i in rows], "i int"), str(tmp_path / "a"), ["i"])
+        assert json.loads("".join(f.read_text() for f in (tmp_path / "a").glob("part-*"))) == [{"i": i} for i in sorted(rows)]
+
+
+def test_sizes(spark, folder):
+    got = {r.kind: (r.n_files, r.size) for r in files.sizes(spark, [str(folder)]).collect()}
+    assert got["json"][0] == 2 and got["mft"] == (1, "5.00 KB") and got["unknown"][0] == 1
+
+
 def test_functions(spark):
     df = spark.createDataFrame([(132223104000000001, 43831.5, 1.5, "0001000200030004", 34404, 0x21, "0000" + "a" * 40, "\\??\\SYSVOL\\x\\y.exe", bytes.fromhex("010200000000000520000000200200" + "00"))],
                                "ft bigint, ole double, days double, ver string, m int, bits int, fid string, path string, sid binary")

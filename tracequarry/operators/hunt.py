@@ -13,6 +13,7 @@ from tracequarry.rules.ir import Or
 from tracequarry.rules.mapper import Mapping, bind
 from tracequarry.rules.optimize import necessary, optimize, weaker
 from tracequarry.rules.parse import Aggregate, Rule
+from tracequarry.sources.evtx import ALIASES
 
 #: Tests per array expression; all arrays of all rules are computed in the same projection over one scan.
 TESTS_PER_ARRAY = 100
@@ -68,7 +69,8 @@ def hunt(
 
     A rule reads fields through its mapping: those of the mapping's group for other engines'
     rules, its own for native ones; each ``from`` name is looked up at its ``to`` path, with
-    its cast or out of its container. ``kind`` is the documents' kind (a column, or a
+    its cast or out of its container. Two fields of event logs are also found where they are
+    attributes (``ALIASES``). ``kind`` is the documents' kind (a column, or a
     constant text); without it every rule is tested on every document.
 
     ``timestamp`` names one column for the time range. With ``own_time`` the time is that of
@@ -89,7 +91,7 @@ def hunt(
         nothing = [F.lit(None).cast("string").alias(c) for c in ("hunt", "rule", "level", "status")]
         nothing += [F.lit(None).cast({"hit_ts": "timestamp", "agg_key": "array<string>"}[c]).alias(c) for c in added]
         return df.where(F.lit(False)).select("*", *nothing)
-    plain = VariantFields(variant) if variant else TypedFields(df.schema)
+    plain = VariantFields(variant, ALIASES if any(b[3] == "evtx" for b in bound) else None) if variant else TypedFields(df.schema)
     seen: dict = {}
     found = []
     for r, g, _, _ in bound:  # one resolver per distinct mapping

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracequarry.operators import hierarchy, instants, nested, skew, wide
+from tracequarry.plans.instants_sql import found_instants
 from tracequarry.plans.nested_sql import nested_rows
 from tracequarry.plans.wide_sql import found_cells
 from tracequarry.runtime import table
@@ -111,6 +112,7 @@ QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p4_found": p4_found, "p5
 
 ORACLE_SQL = {
     "p1_found": found_cells(REGISTRY_ATTRIBUTES),
+    "p2_found": found_instants(TIMESTAMPS),
     "p5_found": nested_rows(),
     "p4_found": """
         WITH keyed AS (

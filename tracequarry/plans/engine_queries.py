@@ -124,7 +124,7 @@ def search_text_tests(spark, folder):
     return d.where(c.predicate(node)).select("doc_id", shown("contains", "wiki").alias("has_wiki"), shown("startswith", "forum").alias("is_forum"), shown("endswith", ".EXAMPLE", True).alias("is_example"))
 
 
-_EVENT_FIELDS = [FieldSpec("k", "props", "k", None, Container("props", "json")), FieldSpec("kind", "event_type", "kind"), FieldSpec("usr", "user_id", "usr", "int")]
+_EVENT_FIELDS = [FieldSpec("k", "props", "k", None, Container("props", "json")), FieldSpec("kind", "kind", "event_type"), FieldSpec("usr", "usr", "user_id", "int")]
 
 
 @query("SELECT event_id, json_extract_string(props, '$.k') AS k, event_type AS kind, CAST(user_id AS VARCHAR) AS usr FROM events")

@@ -96,17 +96,19 @@ class TypedFields:
 class VariantFields:
     """Fields of documents held in one VARIANT column (see :func:`documents_from_json`)."""
 
-    def __init__(self, column: str = "data"):
-        self.column = column
+    def __init__(self, column: str = "data", aliases: dict[str, str] | None = None):
+        """``aliases``: where a field is looked for if it is not at its own path."""
+        self.column, self.aliases = column, aliases or {}
 
     def _path(self, path: str) -> str:
         return "$" + "".join("['" + p.replace("'", "\\'") + "']" for p in path.split("."))
 
     def value(self, path: str) -> tuple[Column, T.DataType]:
         data = F.col(f"`{self.column}`")
-        return F.struct(
-            F.try_variant_get(data, self._path(path), "string").alias("s"), F.try_variant_get(data, self._path(path), "array<string>").alias("a")
-        ), T.VariantType()
+        text = F.try_variant_get(data, self._path(path), "string")
+        if path in self.aliases:
+            text = F.coalesce(text, F.try_variant_get(data, self._path(self.aliases[path]), "string"))
+        return F.struct(text.alias("s"), F.try_variant_get(data, self._path(path), "array<string>").alias("a")), T.VariantType()
 
     def is_object(self, path: str) -> Column:
         return F.try_variant_get(F.col(f"`{self.column}`"), self._path(path), "map<string,variant>").isNotNull()

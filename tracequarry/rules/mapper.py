@@ -36,7 +36,7 @@ def container_value(text: Column, container: Container, key: str) -> Column:
 
 
 def map_fields(df: DataFrame, specs: list[FieldSpec] | tuple[FieldSpec, ...], keep: list[str] | None = None) -> DataFrame:
-    """The visible fields of ``specs`` under their names, after the columns to ``keep``.
+    """The visible fields of ``specs`` (read at their ``to`` paths) under their names, after the columns to ``keep``.
 
     A missing source gives null. With casts all mapped fields are texts, as rules see them."""
     found = TypedFields(df.schema)
@@ -47,8 +47,11 @@ def map_fields(df: DataFrame, specs: list[FieldSpec] | tuple[FieldSpec, ...], ke
         if s.container:
             value = container_value(found.value(s.container.field)[0].cast("string"), s.container, s.to)
         else:
-            column, kind = found.value(s.source)
-            value = column if s.cast is None else cast_value(F.format_string("%.6f", column) if s.cast == "str" and isinstance(kind, (T.DoubleType, T.FloatType)) else column.cast("string"), s.cast)
+            column, kind = found.value(s.to)
+            value = column
+            if s.cast is not None:
+                text = F.when(column.isNotNull(), F.format_string("%.6f", column)) if s.cast == "str" and isinstance(kind, (T.DoubleType, T.FloatType)) else column.cast("string")
+                value = cast_value(text, s.cast)
         out.append(value.alias(s.name))
     return df.select(*out)
 

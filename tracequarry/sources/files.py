@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from tracequarry.functions.forensic import size_text
 from tracequarry.sources import store
 
 #: Kinds of artefact files by extension.
@@ -57,6 +58,14 @@ def discover(paths: Sequence[str], extensions: Sequence[str] | None = None, skip
     return [p for p, _ in store.discover_sized([str(p) for p in paths], extensions, skip_errors)]
 
 
+def sizes(spark: SparkSession, paths: Sequence[str], extensions: Sequence[str] | None = None, skip_errors: bool = False) -> DataFrame:
+    """Files and bytes by kind: kind, n_files, n_bytes and the size as text."""
+    rows = [(kind_of_path(p), n) for p, n in store.discover_sized([str(p) for p in paths], extensions, skip_errors)]
+    listed = spark.createDataFrame(rows, "kind string, size bigint")
+    summed = listed.groupBy("kind").agg(F.count("*").alias("n_files"), F.sum("size").alias("n_bytes"))
+    return summed.withColumn("size", size_text(F.col("n_bytes")))
+
+
 def _refuse(name: str):
     raise ValueError(name)
 

@@ -35,6 +35,8 @@ def write_json_array(df: DataFrame, path: str, order: Sequence[str] = ()) -> Non
         for b in batches:
             out = []
             for text in b.column(0).to_pylist():
+                if text is None:
+                    continue
                 if held is not None:
                     out.append(("" if opened else "[") + held + ",")
                     opened = True
@@ -43,7 +45,8 @@ def write_json_array(df: DataFrame, path: str, order: Sequence[str] = ()) -> Non
                 yield pa.RecordBatch.from_arrays([pa.array(out)], names=["value"])
         yield pa.RecordBatch.from_arrays([pa.array(["[]" if held is None else ("" if opened else "[") + held + "]"])], names=["value"])
 
-    text = rows.select(as_json(rows).alias("value"))
+    # a null row, so that there is a task even where there are no rows
+    text = rows.select(as_json(rows).alias("value")).union(df.sparkSession.range(1).select(F.lit(None).cast("string").alias("value")))
     text.coalesce(1).mapInArrow(run, "value string").write.mode("overwrite").text(path)
 
 
