@@ -19,6 +19,7 @@ import re
 import unicodedata
 from collections import Counter
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -123,6 +124,15 @@ def core_words(documents: DataFrame, text: str = "text", language: str = "lang")
     return {k: v for k, v in out.items() if v}
 
 
+def find_links(text: str) -> list[str]:
+    return _URL.findall(text) if "http" in text or "www." in text else []
+
+
+def find_tags(text: str) -> list[str]:
+    return _TAG.findall(text) if "#" in text or "＃" in text else []
+
+
+@lru_cache(maxsize=100_000)
 def fold(word: str) -> str:
     """A word in one letter case, without invisible characters and with look-alikes of Latin letters replaced."""
     bare = _INVISIBLE.sub("", unicodedata.normalize("NFKC", word)).casefold()
@@ -149,9 +159,9 @@ class Judge:
 
     def terms(self, text: str) -> Counter:
         """Term counts: words, and links and tags as terms of their own."""
-        links = _URL.findall(text)
+        links = find_links(text)
         bare = _URL.sub(" ", text) if links else text
-        tags = _TAG.findall(bare)
+        tags = find_tags(bare)
         if tags:
             bare = _TAG.sub(" ", bare)
         words = Counter(_WORD.findall(bare.lower()))
@@ -173,10 +183,10 @@ class Judge:
         return lang, total, share, spectrum
 
     def _kind(self, line: str) -> str:
-        bare = _INVISIBLE.sub("", line)
-        links = len(_URL.findall(bare))
+        bare = line if line.isascii() else _INVISIBLE.sub("", line)
+        links = len(find_links(bare))
         rest = _URL.sub(" ", bare) if links else bare
-        tags = len(_TAG.findall(rest))
+        tags = len(find_tags(rest))
         rest = _HTML.sub(" ", _TAG.sub(" ", rest)) if "<" in rest or tags else rest
         label = _LABEL.match(rest)
         if label:  # a field of a record if it holds a value; a list or a sentence behind a label is judged by itself
@@ -196,8 +206,8 @@ class Judge:
 
     def spam_part(self, text: str) -> float:
         """The part of a page (by characters) that is links, tags or repeated keywords; 0 without repetition."""
-        links = len(_URL.findall(text))
-        tags = len(_TAG.findall(_URL.sub(" ", text) if links else text)) if "#" in text or "＃" in text else 0
+        links = len(find_links(text))
+        tags = len(find_tags(_URL.sub(" ", text) if links else text))
         sizes: Counter = Counter()
         repeated: Counter = Counter()
         for paragraph in text.split("\n\n"):
