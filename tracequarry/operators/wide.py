@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 VOID_MARKS = ("", "?", "-", "n/a", "<error>", "(value not set)", "(null)", "null", "<null>", "unknown", "<unknown>")
 #: Registry types that carry no value.
 VOID_TYPES = ("none", "error")
+#: Fixed value: what counts as a blank.
+BLANKS = " \t\n\x0b\f\r"
 #: Spark type of each kind of attribute.
 KINDS = {"int": "bigint", "datetime": "timestamp", "list": "array<string>", "bytes": "binary", "text": "string"}
 
@@ -37,12 +39,15 @@ class Attribute:
 
 def attribute_key(name: Column) -> Column:
     """A name without letter case, NULs, surrounding blanks and quotes."""
-    bare = F.regexp_replace(name, r"\x00", "")
-    return F.lower(F.regexp_replace(bare, r"""^[\s"']+|[\s"']+$""", ""))
+    return F.lower(F.btrim(_without_nuls(name), F.lit(BLANKS + "\"'")))
+
+
+def _without_nuls(text: Column) -> Column:
+    return F.translate(text, "\x00", "")
 
 
 def _trimmed(data: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(data, r"\x00", ""), r"^\s+|\s+$", "")
+    return F.btrim(_without_nuls(data), F.lit(BLANKS))
 
 
 def _hex_bytes(data: Column) -> Column:
@@ -97,12 +102,12 @@ def parse_datetime(data: Column) -> Column:
 
 def parse_list(data: Column) -> Column:
     """A JSON array of strings, NUL- or line-separated items, or ``hex(7):`` UTF-16 bytes; without empty items."""
-    lead = F.regexp_replace(data, r"^\s+|\s+$", "")
+    lead = F.btrim(data, F.lit(BLANKS))
     as_json = F.when(lead.startswith("["), F.from_json(lead, "array<string>"))
     digits = F.when(F.lower(lead).startswith("hex(7):"), _hex_bytes(lead))
     wide = F.decode(F.unhex(digits), "UTF-16LE")
     items = F.coalesce(as_json, F.split(F.coalesce(wide, data), r"[\x00\r\n]+"))
-    clean = F.transform(items, lambda x: F.regexp_replace(x, r"^\s+|\s+$", ""))
+    clean = F.transform(items, lambda x: F.btrim(x, F.lit(BLANKS)))
     kept = F.filter(clean, lambda x: x.isNotNull() & (x != ""))
     return F.when(F.size(kept) > 0, kept)
 
@@ -164,10 +169,10 @@ def latest_values(
         own = [i for i, a in enumerate(attributes) if a.kind == k]
         values[k] = F.when(F.col("__attr").isin(*own), PARSERS[k](F.col("__data")))
     parsed = usable.select("__entity", "__attr", "__order", *[v.alias(f"__{k}") for k, v in values.items()])
-    parsed = parsed.where(_any_filled(kinds))
+    # a row without a value has no order and is passed over; as a filter this would be pushed down and parse everything twice
     best = parsed.groupBy("__entity", "__attr").agg(
-        F.max_by(F.struct(*[F.col(f"__{k}") for k in kinds]), F.col("__order")).alias("__v")
-    )
+        F.max_by(F.struct(*[F.col(f"__{k}") for k in kinds]), F.when(_any_filled(kinds), F.col("__order"))).alias("__v")
+    ).where(F.col("__v").isNotNull())
     return best.select(F.col("__entity").alias(entity), "__attr", *[F.col(f"__v.__{k}").alias(f"__{k}") for k in kinds])
 
 

@@ -28,7 +28,8 @@ REGISTRY_ATTRIBUTES = [
 def registry_wide(spark: SparkSession, folder: str) -> DataFrame:
     """One typed row per registry key under the inventory and service branches."""
     rows = table(spark, folder, "reg_values")
-    under = F.col("key_path").rlike(r"(?i)(^|\\)(InventoryApplicationFile|InventoryApplication|Services)(\\|$)")
+    path = F.lower("key_path")
+    under = (path.contains("inventoryapplication") | path.contains("services")) & path.rlike(r"(^|\\)(inventoryapplicationfile|inventoryapplication|services)(\\|$)")
     return wide.attributes_to_wide(rows.where(under), REGISTRY_ATTRIBUTES)
 
 

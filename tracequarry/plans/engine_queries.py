@@ -237,7 +237,7 @@ def sigma_base64offset(spark, folder):
 _ANCHORED = """
   SELECT computer, cache_entry_position AS pos, row_id, entry_path, last_modified_ts,
          CASE WHEN regexp_matches(lower(entry_path), 'loader|patch') AND last_modified_ts IS NOT NULL THEN last_modified_ts END AS exact_ts
-  FROM shim_entries WHERE computer IS NOT NULL"""
+  FROM shim_entries"""
 
 
 @query(f"""WITH a AS ({_ANCHORED}), w AS (
@@ -246,7 +246,7 @@ _ANCHORED = """
   SELECT row_id, CASE WHEN exact_ts IS NOT NULL THEN 'Exact' WHEN newer IS NOT NULL AND older IS NOT NULL THEN 'Range' WHEN older IS NOT NULL THEN 'RangeStart' WHEN newer IS NOT NULL THEN 'RangeEnd' END AS ts_kind,
          strftime(CASE WHEN exact_ts IS NULL THEN older END, '%Y-%m-%d %H:%M:%S.%f') AS range_from, strftime(CASE WHEN exact_ts IS NULL THEN newer END, '%Y-%m-%d %H:%M:%S.%f') AS range_to FROM w""")
 def timeline_ranges(spark, folder):
-    e = table(spark, folder, "shim_entries").where("computer IS NOT NULL").withColumn("position", F.struct("cache_entry_position", "row_id"))
+    e = table(spark, folder, "shim_entries").withColumn("position", F.struct("cache_entry_position", "row_id"))
     out = tl.fill_ranges(tl.anchor(e, ["loader|patch"], "entry_path", "last_modified_ts"), "computer", "position")
     shown = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSSSSS").alias(c)
     return out.select("row_id", "ts_kind", shown("range_from"), shown("range_to"))
@@ -344,10 +344,10 @@ def flag_texts(spark, folder):
     return m.select("row_id", fx.flag_names(bits).alias("flags"), fx.flag_names(F.col("hard_link_count"), fx.ENTRY_FLAGS).alias("entry_flags"))
 
 
-@query("""SELECT row_id, 'S-1-5-21-' || (entry_id % 4294967296) || '-' || (row_id % 4294967296) AS sid FROM mft_entries WHERE entry_id >= 0""")
+@query("""SELECT row_id, 'S-1-5-21-' || (entry_id % 4294967296) || '-' || (row_id % 4294967296) AS sid FROM mft_entries""")
 def sid_texts(spark, folder):
     """Binary identifiers put together from entry numbers, as text."""
-    m = table(spark, folder, "mft_entries").where("entry_id >= 0")
+    m = table(spark, folder, "mft_entries")
     little = lambda n: F.concat(*[F.lpad(F.hex(F.floor(n / 256**i).cast("bigint") % 256), 2, "0") for i in range(4)])
     binary = F.unhex(F.concat(F.lit("010300000000000515000000"), little(F.col("entry_id") % 2**32), little(F.col("row_id") % 2**32)))
     return m.select("row_id", fx.sid_text(binary).alias("sid"))
@@ -484,10 +484,10 @@ def tau_patterns(spark, folder):
 
 
 @query("""SELECT event_id, CASE WHEN value = 0 THEN '0' ELSE regexp_replace(regexp_replace(printf('%.' || greatest(0, 5 - CAST(floor(log10(abs(value))) AS INT)) || 'f', value), '(\\.\\d*?)0+$', '\\1'), '\\.$', '') END AS shown
-  FROM events WHERE value IS NOT NULL AND abs(value) < 900000 AND (value = 0 OR abs(value) >= 0.0001)""")
+  FROM events""")
 def number_texts(spark, folder):
     """Floating-point values as the texts that rules compare."""
-    e = _events(spark, folder).where("value IS NOT NULL AND abs(value) < 900000 AND (value = 0 OR abs(value) >= 0.0001)")
+    e = _events(spark, folder)
     return e.select("event_id", double_text(F.col("value")).alias("shown"))
 
 
@@ -500,7 +500,7 @@ def _fill(of: str, exact: str) -> str:
 
 
 @query(f"""WITH files AS (SELECT lower(full_path) AS k, arg_max(collected_at, row_id) AS file_ts FROM mft_entries WHERE full_path IS NOT NULL GROUP BY ALL),
-    e AS (SELECT computer, cache_entry_position AS pos, row_id, entry_path, last_modified_ts AS m FROM shim_entries WHERE computer IS NOT NULL),
+    e AS (SELECT computer, cache_entry_position AS pos, row_id, entry_path, last_modified_ts AS m FROM shim_entries),
     a AS (SELECT e.*, file_ts, CASE WHEN regexp_matches(lower(entry_path), 'loader|patch') AND m IS NOT NULL THEN m END AS x0 FROM e LEFT JOIN files ON lower(entry_path) = k),
     b AS (SELECT *, CASE WHEN x0 IS NULL AND coalesce(abs(epoch_ms(m) - epoch_ms(file_ts)) <= 60000, false) THEN file_ts ELSE x0 END AS x1, CASE WHEN x0 IS NOT NULL THEN 'PatternMatch' WHEN coalesce(abs(epoch_ms(m) - epoch_ms(file_ts)) <= 60000, false) THEN 'NearTSMatch' END AS h1 FROM a),
     c AS ({_fill('b', 'x1')}),
@@ -511,7 +511,7 @@ def _fill(of: str, exact: str) -> str:
     strftime(coalesce(x2, older, newer), '%Y-%m-%d %H:%M:%S.%f') AS display_ts, CAST(row_number() OVER (PARTITION BY computer ORDER BY pos, row_id) AS INTEGER) AS entry_number FROM g""")
 def timeline_whole(spark, folder):
     """Anchors, ranges, file lookup, near pairs, times inside ranges, and numbering; file-table entries stand in for the inventory."""
-    e = table(spark, folder, "shim_entries").where("computer IS NOT NULL").withColumn("position", F.struct("cache_entry_position", "row_id"))
+    e = table(spark, folder, "shim_entries").withColumn("position", F.struct("cache_entry_position", "row_id"))
     files = table(spark, folder, "mft_entries").select(F.col("full_path").alias("file_path"), F.col("collected_at").alias("file_ts"), F.col("row_id").alias("file_row"))
     out = tl.timeline(e, ["loader|patch"], files, True, "computer", "position", "entry_path", "last_modified_ts", file_order=["file_row"])
     return out.select("row_id", "how", "ts_kind", F.date_format("display_ts", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("display_ts"), "entry_number")
