@@ -13,6 +13,7 @@ from tracequarry.rules.ir import Or
 from tracequarry.rules.mapper import Mapping, bind
 from tracequarry.rules.optimize import necessary, optimize, weaker
 from tracequarry.rules.parse import Aggregate, Rule
+from tracequarry.runtime import many_columns
 from tracequarry.sources.evtx import ALIASES
 
 #: Tests per array expression; all arrays of all rules are computed in the same projection over one scan.
@@ -27,6 +28,11 @@ def rule_table(spark, rules: Sequence[Rule]) -> DataFrame:
     return spark.createDataFrame(rows, "rule string, rule_group string, level string, status string, kind string, authors array<string>, description string")
 
 
+def sql_text(text: str) -> str:
+    """A text as a SQL literal."""
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def _time(column: Column, type_name: str) -> Column:
     return (column if type_name.startswith("timestamp") else parse_timestamp(column.cast("string"))).cast("timestamp")
 
@@ -78,6 +84,11 @@ def hunt(
     readable time is no hit. A missing time is outside any given range. ``with_keys`` adds
     ``agg_key``: the texts of the rule's aggregate fields, null for rules without.
     """
+    with many_columns():
+        return _hunt(df, rules, mappings, kind, timestamp, start, end, levels, statuses, kinds, variant, own_time, with_keys)
+
+
+def _hunt(df, rules, mappings, kind, timestamp, start, end, levels, statuses, kinds, variant, own_time, with_keys) -> DataFrame:
     wanted = [r for r in rules if (not levels or r.level in levels) and (not statuses or r.status in statuses) and (not kinds or r.kind in kinds)]
     bound = bind(wanted, list(mappings))
     types = dict(df.dtypes)
@@ -122,7 +133,8 @@ def hunt(
         df = df.where(balanced([Compiler(f).predicate(optimize(Or(tuple(dict.fromkeys(ns))))) for f, ns in unique.items()], "or"))
     arrays = [F.array_compact(F.array(*tests[i : i + TESTS_PER_ARRAY])) for i in range(0, len(tests), TESTS_PER_ARRAY)]
     hit = df.withColumn("__rule", F.explode(F.concat(*arrays)))
-    info = F.array(*[F.struct(F.lit(g.name if g else r.group).alias("hunt"), F.lit(r.name).alias("rule"), F.lit(r.level).alias("level"), F.lit(r.status).alias("status")) for r, g, _, _ in bound])
+    rows = (f"struct({sql_text(g.name if g else r.group)} AS hunt, {sql_text(r.name)} AS rule, {sql_text(r.level)} AS level, {sql_text(r.status)} AS status)" for r, g, _, _ in bound)
+    info = F.expr(f"array({', '.join(rows)})")  # one call for all rules; Catalyst folds it to a constant
     index = F.col("__rule")
     extra = []
     if own_time:

@@ -54,8 +54,14 @@ class TypedFields:
 
     def __init__(self, schema: T.StructType):
         self.schema = schema
+        self.found: dict[str, tuple[Column, T.DataType] | None] = {}
 
     def _find(self, path: str) -> tuple[Column, T.DataType] | None:
+        if path not in self.found:
+            self.found[path] = self._look_up(path)
+        return self.found[path]
+
+    def _look_up(self, path: str) -> tuple[Column, T.DataType] | None:
         names = {f.name: f for f in self.schema.fields}
         if path in names:  # a column whose own name has dots
             return F.col(f"`{path}`"), names[path].dataType
@@ -99,16 +105,20 @@ class VariantFields:
     def __init__(self, column: str = "data", aliases: dict[str, str] | None = None):
         """``aliases``: where a field is looked for if it is not at its own path."""
         self.column, self.aliases = column, aliases or {}
+        self.found: dict[str, Column] = {}
 
     def _path(self, path: str) -> str:
         return "$" + "".join("['" + p.replace("'", "\\'") + "']" for p in path.split("."))
 
     def value(self, path: str) -> tuple[Column, T.DataType]:
+        if path in self.found:
+            return self.found[path], T.VariantType()
         data = F.col(f"`{self.column}`")
         text = F.try_variant_get(data, self._path(path), "string")
         if path in self.aliases:
             text = F.coalesce(text, F.try_variant_get(data, self._path(self.aliases[path]), "string"))
-        return F.struct(text.alias("s"), F.try_variant_get(data, self._path(path), "array<string>").alias("a")), T.VariantType()
+        self.found[path] = F.struct(text.alias("s"), F.try_variant_get(data, self._path(path), "array<string>").alias("a"))
+        return self.found[path], T.VariantType()
 
     def is_object(self, path: str) -> Column:
         return F.try_variant_get(F.col(f"`{self.column}`"), self._path(path), "map<string,variant>").isNotNull()

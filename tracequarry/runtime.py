@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import os
 import tempfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -40,3 +42,22 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     if spark.sparkContext.getConf().get(setting) is None:
         spark.sparkContext._jsc.sc().conf().set(setting, "true")
     return df.checkpoint(eager=True)
+
+
+@contextmanager
+def many_columns() -> Iterator[None]:
+    """While thousands of column expressions are built: without noting for each the line it came from.
+
+    That is an aid of PySpark's for error messages (``spark.python.sql.dataFrameDebugging.enabled``)
+    and takes longer than the calls themselves; where it works otherwise nothing is changed."""
+    import pyspark.errors.utils as origin
+
+    if not hasattr(origin, "_enable_debugging_cache"):
+        yield
+        return
+    before = origin._enable_debugging_cache
+    origin._enable_debugging_cache = False
+    try:
+        yield
+    finally:
+        origin._enable_debugging_cache = before
