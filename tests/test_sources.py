@@ -74,6 +74,21 @@ def test_json_lines_in_ranges(spark, tmp_path):
         assert [b[0] for b in bad] == [i for i, _ in want if i <= 200] + [201] and bad[-1][1] and bad[-1][2].startswith("line 201: ")
 
 
+def test_json_arrays_are_streamed(tmp_path):
+    good = ["[]", " [ ] ", "[1]", "[12, 3.5e2,true , null]", '[{"a": [1, {"b": "x]\\",["}]}, "é\u2028", [[]]]', "[" + ",".join(str(i) * 9 for i in range(1, 300)) + "]", '\ufeff[1]', "[123456789]"]
+    bad = ["[1", "[1,]", "[1 2]", "[,]", "[1]]", "[1] 2", "[", "[NaN]", '["a]', "[01]", '{"a"', ""]
+    for k, text in enumerate(good + bad):
+        (tmp_path / "f").write_text(text, encoding="utf-8")
+        for block in (1, 7, 1 << 20):
+            with store.Source(str(tmp_path / "f")) as f:
+                got = list(files.json_documents(f, block))
+            if k < len(good):
+                want = json.loads(text.lstrip("\ufeff"))
+                assert [(i, json.loads(t), e) for i, t, e in got] == [(i, v, None) for i, v in enumerate(want)], (text, block)
+            else:
+                assert len(got) == 1 and got[0][1] is None and got[0][2], (text, block)
+
+
 def test_file_table_in_ranges(spark, tmp_path):
     table = file_table() + b"".join(record(100 + i, 40 if i == 0 else 99 + i, f"d{i}", 3) for i in range(20))
     (tmp_path / "t.mft").write_bytes(table)

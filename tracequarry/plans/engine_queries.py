@@ -21,7 +21,7 @@ from tracequarry.rules.parse import Container, FieldSpec, parse_filter, parse_kv
 from tracequarry.runtime import shared_folder, table
 from tracequarry.sources import files, sinks
 from tracequarry.sources.sinks import as_json, hit_records
-from tracequarry.streaming.hunting import count_in_windows
+from tracequarry.streaming.hunting import count_in_windows, hunt_stream, table_stream
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -559,3 +559,14 @@ def json_round_trip(spark, folder):
     to = _written(spark, "events")
     sinks.write_json_array(_events(spark, folder).select("event_id", "event_type", "value", "user_id"), to)
     return _fields(files.read(spark, [to], "json").where("data IS NOT NULL"))
+
+
+@query("SELECT event_id, 'Errors' AS rule FROM events WHERE event_type = 'error'")
+def stream_hunt(spark, folder):
+    """All events as a stream: hits are written as they come and read back."""
+    source = table(spark, folder, "events")
+    stream = table_stream(spark, folder, "events", source.schema)
+    to = _written(spark, "hits")
+    hits = hunt_stream(stream, [_rules()[0]]).select("event_id", "rule")
+    hits.writeStream.format("parquet").option("path", to).option("checkpointLocation", to + "-state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(hits.schema).parquet(to)

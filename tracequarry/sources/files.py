@@ -3,13 +3,15 @@
 Every reader returns source, kind, record_id, timestamp and data (JSON text). The driver
 only lists files and cuts them into ranges; tasks read their range from the shared store,
 pass documents on in small batches, and never hold a file as one row. JSON Lines, event
-logs and file tables are cut into ranges of ``SPLIT`` bytes; registry hives, ESE databases,
-JSON and XML documents are read whole by one task each.
+logs and file tables are cut into ranges of ``SPLIT`` bytes; JSON arrays and ESE databases
+are streamed by one task each, registry hives and XML documents read whole by one.
 """
 
 from __future__ import annotations
 
+import codecs
 import json
+import re
 from collections.abc import Iterable, Iterator, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -28,6 +30,7 @@ DOCUMENT = "source string, kind string, record_id bigint, timestamp string, data
 DIVISIBLE = ("jsonl", "evtx", "mft")
 #: Documents, and characters of them, that are passed on at once.
 BATCH, BATCH_CHARACTERS = 5_000, 16_000_000
+_BLANKS = re.compile(r"[ \t\n\r]*")
 
 
 def kind_of(path: Column) -> Column:
@@ -90,18 +93,95 @@ def json_lines(source: store.Source, start: int, length: int) -> Iterator[tuple[
             return
 
 
-def json_documents(source: store.Source) -> Iterator[tuple[int | None, str | None, str | None]]:
-    """(record id, JSON text, error). An array gives one document per element, anything else is one."""
+def _characters(source: store.Source, block: int) -> Iterator[str]:
+    decoder = codecs.getincrementaldecoder("utf-8-sig")()
+    for at in range(0, source.size, block):
+        yield decoder.decode(source.read(at, block))
+    yield decoder.decode(b"", True)
+
+
+def array_items(source: store.Source, block: int) -> Iterator[object]:
+    """The elements of a file that is one JSON array, one after the other, so that the file need not fit into memory."""
+    pieces = _characters(source, block)
+    decode = json.JSONDecoder(parse_constant=_refuse).raw_decode
+    text, at, ended = "", 0, False
+
+    def more() -> bool:
+        nonlocal text, at, ended
+        if ended:
+            return False
+        # as much again as is held, so that a long element is not begun too often
+        got: list[str] = []
+        wanted, n = max(1, len(text) - at), 0
+        while n < wanted:
+            piece = next(pieces, None)
+            if piece is None:
+                ended = True
+                break
+            got.append(piece)
+            n += len(piece)
+        text, at = text[at:] + "".join(got), 0
+        return True
+
+    def peek() -> str:
+        nonlocal at
+        while True:
+            at = _BLANKS.match(text, at).end()
+            if at < len(text):
+                return text[at]
+            if not more():
+                return ""
+
+    if peek() != "[":
+        raise ValueError("not an array")
+    at += 1
+    if peek() == "]":
+        at += 1
+    else:
+        while True:
+            peek()
+            while True:
+                try:
+                    value, end = decode(text, at)
+                except ValueError:
+                    if not more():
+                        raise
+                    continue
+                goes_on = end == len(text) or (isinstance(value, (int, float)) and text[end] in "0123456789.eE+-")
+                if not goes_on or not more():  # a number at the end of what is held may go on
+                    break
+            yield value
+            at = end
+            ch = peek()
+            if ch not in (",", "]"):
+                raise ValueError(f"expected a comma or the end of the array, got {ch!r}")
+            at += 1
+            if ch == "]":
+                break
+    if peek():
+        raise ValueError("more than one value")
+
+
+def json_documents(source: store.Source, block: int = 1 << 20) -> Iterator[tuple[int | None, str | None, str | None]]:
+    """(record id, JSON text, error). An array gives one document per element, anything else is one.
+
+    An array is read twice, first to see that it is valid to its end: a file that is not
+    gives an error and no document."""
     try:
-        value = _loads(source.read(0, source.size).decode("utf-8-sig"))
+        head = source.read(0, 4096).lstrip(b"\xef\xbb\xbf \t\r\n")
+        if head.startswith(b"["):
+            for _ in array_items(source, block):
+                pass
+        else:
+            value = _loads(source.read(0, source.size).decode("utf-8-sig"))
     except (ValueError, RecursionError) as e:
         yield None, None, str(e)
         return
-    if isinstance(value, list):
-        for i, item in enumerate(value):
-            yield i, compact(item), None
-    else:
+    if not head.startswith(b"["):
         yield None, compact(value), None
+        return
+    for i, item in enumerate(array_items(source, block)):
+        yield i, compact(item), None
 
 
 def element_value(e) -> object:

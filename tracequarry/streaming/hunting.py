@@ -4,11 +4,23 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tracequarry.operators.hunt import hunt
 from tracequarry.rules.parse import Rule
+from tracequarry.sources.store import resolve
+
+
+def table_stream(spark: SparkSession, folder: str, name: str, schema: StructType) -> DataFrame:
+    """A Parquet table as a stream, whether it is a single file or a folder of parts that others are added to."""
+    path = f"{folder}/{name}.parquet"
+    system, inner = resolve(path)
+    reader = spark.readStream.schema(schema)
+    if system.get_file_info(inner).type.name == "Directory":
+        return reader.parquet(path)
+    return reader.option("pathGlobFilter", f"{name}.parquet").parquet(folder)
 
 
 def hunt_stream(stream: DataFrame, rules: Sequence[Rule], **options) -> DataFrame:
