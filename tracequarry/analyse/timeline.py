@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from tracequarry.functions import forensic as fx
+from tracequarry.runtime import many_columns
 
 
 def anchor(entries: DataFrame, patterns: Sequence[str], path: str = "path", modified: str = "last_modified") -> DataFrame:
@@ -97,6 +98,7 @@ def with_anchor(entries: DataFrame, updates: DataFrame, source: str = "source",
 _RANGES = ("range_from", "range_to", "ts_kind", "display_ts")
 
 
+@many_columns()
 def timeline(
     entries: DataFrame, patterns: Sequence[str] = (), files: DataFrame | None = None, near_pairs: bool = False,
     source: str = "source", position: str = "position", path: str = "path", modified: str = "last_modified", file_ts: str = "file_ts",

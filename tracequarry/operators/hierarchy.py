@@ -24,7 +24,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracequarry.runtime import cut_lineage
+from tracequarry.runtime import cut_lineage, many_columns
 
 #: Most active nodes of one group that a task contracts by itself.
 CAP = 250_000
@@ -281,6 +281,7 @@ def solve(state: DataFrame, cap: int = CAP, max_rounds: int = 200) -> DataFrame:
     return small.unionByName(known)
 
 
+@many_columns()
 def hierarchy(
     rows: DataFrame, group: str, node: str, parent: str, name: str, order: Sequence[str] = (), cap: int = CAP
 ) -> DataFrame:

@@ -18,6 +18,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tracequarry.runtime import many_columns
+
 #: Years that occur, unless others are asked for; readings outside are taken for no instants.
 YEARS = (2019, 2026)
 #: Zone texts that name a fixed offset; all others are looked up in the rules.
@@ -79,6 +81,9 @@ def zone_tables(spark: SparkSession, zones: Sequence[str], years: tuple[int, int
     out = ZoneTables(version=str(java.zone.ZoneRulesProvider.getVersions("UTC").lastKey()), years=years)
     begin, end = (int(pd.Timestamp(y, 1, 1).timestamp()) for y in (years[0] - 1, years[1] + 2))
     for zone in zones:
+        if (out.version, zone, years) in _KNOWN:
+            out.starts[zone], out.offsets[zone] = _KNOWN[out.version, zone, years]
+            continue
         try:
             rules = java.ZoneId.of(zone).getRules()
         except Exception:  # not a zone of these rules: its local texts denote no instants
@@ -89,10 +94,14 @@ def zone_tables(spark: SparkSession, zones: Sequence[str], years: tuple[int, int
             starts.append(change.toEpochSecond())
             offsets.append(change.getOffsetAfter().getTotalSeconds())
             at = change.getInstant()
-        out.starts[zone], out.offsets[zone] = starts, offsets
+        out.starts[zone], out.offsets[zone] = _KNOWN[out.version, zone, years] = starts, offsets
     return out
 
 
+#: Transitions by version of the rules, zone and span; bounded like the zones themselves.
+_KNOWN: dict[tuple, tuple[list[int], list[int]]] = {}
+
+
 def local_to_utc(local: np.ndarray, starts: Sequence[int], offsets: Sequence[int]) -> tuple[np.ndarray, np.ndarray]:
     """Seconds of local readings to UTC seconds and whether they exist.
 
@@ -282,6 +291,7 @@ def instant_micros(text: Column, zone: Column, locale: Column, tables: ZoneTable
     return convert(text, zone, locale)
 
 
+@many_columns()
 def normalise_instants(
     rows: DataFrame,
     hosts: DataFrame,
@@ -306,7 +316,8 @@ def normalise_instants(
     """
     spark = rows.sparkSession
     named = hosts.where(F.col(host).isNotNull()).groupBy(F.col(host).alias("__host")).agg(F.min(F.struct(zone, locale)).alias("__z"))
-    known = F.col(zone).isin(*known_zones(spark)) | F.col(zone).rlike(FIXED_OFFSET)
+    names = ", ".join(f"'{z}'" for z in known_zones(spark))  # one call instead of one per name
+    known = F.expr(f"`{zone}` IN ({names})") | F.col(zone).rlike(FIXED_OFFSET)
     zones = [r[0] for r in hosts.where(known).select(zone).distinct().collect()]
     tables = zone_tables(spark, sorted(zones), years)
     joined = rows.join(named, F.col(host) == F.col("__host"), "left")

@@ -14,6 +14,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tracequarry.runtime import many_columns
+
 
 def composite_key(fields: Column, available: Sequence[str], separator: str = "|") -> Column:
     """The values of the columns that the array ``fields`` names, in its order, joined.
@@ -52,6 +54,7 @@ def meets(pattern: Column, n: Column) -> Column:
     )
 
 
+@many_columns()
 def rule_groups(
     hits: DataFrame,
     rules: DataFrame,

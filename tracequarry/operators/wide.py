@@ -15,6 +15,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tracequarry.runtime import many_columns
+
 #: Marks that stand for an absent, unknown or failed value.
 VOID_MARKS = ("", "?", "-", "n/a", "<error>", "(value not set)", "(null)", "null", "<null>", "unknown", "<unknown>")
 #: Registry types that carry no value.
@@ -242,6 +244,7 @@ def to_wide(latest: DataFrame, attributes: Sequence[Attribute], entity: str = "k
     return ordered.mapInArrow(build, schema_text)
 
 
+@many_columns()
 def attributes_to_wide(rows: DataFrame, attributes: Sequence[Attribute], entity: str = "key_id", **columns) -> DataFrame:
     """Attribute-value rows to one wide row per entity; see :func:`latest_values` and :func:`to_wide`.
 
@@ -252,6 +255,7 @@ def attributes_to_wide(rows: DataFrame, attributes: Sequence[Attribute], entity:
     return to_wide(latest_values(rows, attributes, entity, **columns), attributes, entity)
 
 
+@many_columns()
 def wide_cells(wide: DataFrame, attributes: Sequence[Attribute], entity: str = "key_id") -> DataFrame:
     """The filled cells of a wide table as (entity, attr, cell) with canonical cell texts."""
     shown = []
