@@ -72,7 +72,8 @@ class ZoneTables:
 
 def known_zones(spark: SparkSession) -> list[str]:
     """The names in the JVM's time-zone rules (about 600)."""
-    return sorted(str(z) for z in spark.sparkContext._jvm.java.time.zone.ZoneRulesProvider.getAvailableZoneIds())
+    joined = spark.sparkContext._jvm.java.lang.String.join(",", spark.sparkContext._jvm.java.time.zone.ZoneRulesProvider.getAvailableZoneIds())
+    return sorted(joined.split(","))
 
 
 def zone_tables(spark: SparkSession, zones: Sequence[str], years: tuple[int, int] = YEARS) -> ZoneTables:
