@@ -50,7 +50,8 @@ def p8_totals(spark: SparkSession, folder: str) -> DataFrame:
         F.count_if((F.col("pieces") > 1) & (F.col("n_tokens") <= 2048)).alias("n_cut"),
     )
     of_bins = bins.agg(F.count_if(F.col("fill") > 2048).alias("n_over"), (F.count("*") <= F.ceil(F.sum("fill") / 2048) * 1.01 + 1).alias("few"))
-    return of_docs.join(F.broadcast(of_bins))  # one row each
+    both = of_docs.unionByName(of_bins, allowMissingColumns=True)  # one row each
+    return both.agg(*[F.max(c).alias(c) for c in both.columns])
 
 
 def p9_found(spark: SparkSession, folder: str) -> DataFrame:
