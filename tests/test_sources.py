@@ -262,6 +262,12 @@ def test_sizes(spark, folder):
     assert got["json"][0] == 2 and got["mft"] == (1, "5.00 KB") and got["unknown"][0] == 1
 
 
+def test_record_keys_are_the_same_every_time(spark):
+    df = spark.createDataFrame([("a", 1), ("a", 1), ("a", 2), ("a", None), ("a1", None)], "s string, r bigint")
+    got = [r[0] for r in df.select(fx.record_key(df.s, df.r)).collect()]
+    assert got[0] == got[1] and len(set(got)) == 4
+
+
 def test_functions(spark):
     df = spark.createDataFrame([(132223104000000001, 43831.5, 1.5, "0001000200030004", 34404, 0x21, "0000" + "a" * 40, "\\??\\SYSVOL\\x\\y.exe", bytes.fromhex("010200000000000520000000200200" + "00"))],
                                "ft bigint, ole double, days double, ver string, m int, bits int, fid string, path string, sid binary")
