@@ -118,10 +118,10 @@ def utf16_text(data: Column) -> Column:
 
 
 def size_text(n: Column) -> Column:
-    """A number of bytes in the largest unit that leaves at least one, with two decimals above bytes."""
+    """A number of bytes in the largest unit that leaves at least one, with two decimals above bytes (halves to even)."""
     out = F.concat(n.cast("string"), F.lit(" B"))
     for k, unit in enumerate(("KB", "MB", "GB", "TB"), 1):
-        out = F.when(n >= 1024**k, F.concat(F.format_string("%.2f", n / float(1024**k)), F.lit(f" {unit}"))).otherwise(out)
+        out = F.when(n >= 1024**k, F.concat(F.format_string("%.2f", F.bround(n / float(1024**k), 2)), F.lit(f" {unit}"))).otherwise(out)
     return out
 
 

@@ -20,7 +20,7 @@ from tracequarry.rules.mapper import map_fields, parse_mapping
 from tracequarry.rules.parse import Container, FieldSpec, parse_filter, parse_kv, parse_rule
 from tracequarry.runtime import shared_folder, table
 from tracequarry.sources import files, sinks
-from tracequarry.sources.sinks import as_json, hit_records
+from tracequarry.sources.sinks import as_json, hit_records, hunt_table
 from tracequarry.streaming.hunting import count_in_windows, hunt_stream, table_stream
 
 QUERIES: dict = {}
@@ -364,10 +364,11 @@ def path_rewrites(spark, folder):
 @query("""WITH p AS (SELECT row_id, CASE WHEN length(program_entry) >= 50 AND regexp_matches(program_entry, '^[0-9A-Fa-f]{8}\\b') THEN regexp_split_to_array(trim(program_entry), '\\s+') END AS x FROM shim_entries),
     q AS (SELECT row_id, CASE WHEN len(x) >= 6 THEN x END AS x FROM p)
   SELECT row_id, x[5] AS program_name, x[6] AS publisher_id, CASE WHEN len(x) >= 7 THEN x[7] = 'neutral' END AS neutral,
+    CASE WHEN regexp_matches(x[4], '^[0-9A-Fa-f]{4}$') THEN CASE ('0x' || x[4])::INT WHEN 34404 THEN 'AMD64' WHEN 452 THEN 'ARM' WHEN 332 THEN 'I386' WHEN 512 THEN 'IA64' ELSE 'Unknown (' || ('0x' || x[4])::INT || ')' END END AS architecture,
     CASE WHEN regexp_matches(x[2], '^[0-9A-Fa-f]{16}$') THEN concat_ws('.', CAST('0x' || x[2][1:4] AS INT), CAST('0x' || x[2][5:8] AS INT), CAST('0x' || x[2][9:12] AS INT), CAST('0x' || x[2][13:16] AS INT)) ELSE x[2] END AS program_version FROM q""")
 def program_entries(spark, folder):
     f = fx.program_fields(F.col("program_entry"))
-    return table(spark, folder, "shim_entries").select("row_id", *[f[c].alias(c) for c in ("program_name", "publisher_id", "neutral", "program_version")])
+    return table(spark, folder, "shim_entries").select("row_id", *[f[c].alias(c) for c in ("program_name", "publisher_id", "neutral", "architecture", "program_version")])
 
 
 @query("""SELECT strftime(time_bucket(INTERVAL '5 minutes', ts), '%Y-%m-%d %H:%M') AS window_start, rule, user_id, count(*) AS n_hits FROM (SELECT ts, 'Errors' AS rule, user_id FROM events WHERE event_type = 'error') GROUP BY ALL HAVING count(*) >= 2""")
@@ -491,6 +492,47 @@ def number_texts(spark, folder):
     return e.select("event_id", double_text(F.col("value")).alias("shown"))
 
 
+@query("""SELECT row_id, lower(hex(encode(file_name))) AS bytes, file_name AS wide, CASE WHEN length(full_path) = 44 AND starts_with(full_path, '0000') THEN full_path[5:44] END AS sha1 FROM mft_entries""")
+def byte_texts(spark, folder):
+    """Bytes as hex, UTF-16 bytes as text, hashes out of file ids (which paths are not)."""
+    m = table(spark, folder, "mft_entries")
+    return m.select("row_id", fx.bytes_to_hex(F.encode("file_name", "UTF-8")).alias("bytes"), fx.utf16_text(F.encode("file_name", "UTF-16LE")).alias("wide"), fx.sha1_of_file_id(F.col("full_path")).alias("sha1"))
+
+
+@query("""SELECT row_id, CASE WHEN length(value_data) = 44 AND starts_with(value_data, '0000') THEN substring(value_data, 5, 40) END AS sha1 FROM reg_values""")
+def file_hashes(spark, folder):
+    return table(spark, folder, "reg_values").select("row_id", fx.sha1_of_file_id(F.col("value_data")).alias("sha1"))
+
+
+@query("""SELECT row_id, sha256(concat_ws(chr(0), source_file, coalesce(CAST(record_id AS VARCHAR), ''))) AS record_key FROM hunt_docs""")
+def record_keys(spark, folder):
+    return table(spark, folder, "hunt_docs").select("row_id", fx.record_key(F.col("source_file"), F.col("record_id")).alias("record_key"))
+
+
+@query("""SELECT row_id, CASE WHEN n >= 1099511627776 THEN printf('%.2f', n / 1099511627776) || ' TB' WHEN n >= 1073741824 THEN printf('%.2f', n / 1073741824) || ' GB' WHEN n >= 1048576 THEN printf('%.2f', n / 1048576) || ' MB'
+    WHEN n >= 1024 THEN printf('%.2f', n / 1024) || ' KB' ELSE n || ' B' END AS size FROM (SELECT row_id, file_size AS n FROM mft_entries)""")
+def size_texts(spark, folder):
+    return table(spark, folder, "mft_entries").select("row_id", fx.size_text(F.col("file_size")).alias("size"))
+
+
+@query("""SELECT doc_id, substring(regexp_replace(text, '[\\n\\r\\t ]+', ' ', 'g'), 1, 496) AS shown FROM documents""")
+def collapsed_texts(spark, folder):
+    return table(spark, folder, "documents").select("doc_id", fx.collapse(F.col("text")).alias("shown"))
+
+
+@query("""SELECT row_id, coalesce(CAST(try_cast(regexp_extract(time_from, '^\\s*([+-]?\\d+)', 1) AS BIGINT) AS VARCHAR), time_from) AS whole, printf('%.6f', retention_time_days) AS shown, time_from AS same FROM table_details""")
+def mapper_casts(spark, folder):
+    specs = [FieldSpec("whole", "whole", "time_from", "int"), FieldSpec("shown", "shown", "retention_time_days", "str"), FieldSpec("same", "same", "time_from"), FieldSpec("hidden", "guid", "guid", visible=False)]
+    return map_fields(table(spark, folder, "table_details"), specs, ["row_id"])
+
+
+@query(f"""SELECT strftime(ts, '%Y-%m-%d %H:%M:%S') AS timestamp, 'Demo: ' || rule AS detections, event_type FROM ({_HITS.replace('SELECT event_id', 'SELECT event_type, event_id')})""")
+def hunt_report(spark, folder):
+    """Hits as the columns of a report."""
+    hits = hunt(_events(spark, folder).withColumn("ts", F.date_format("ts", "yyyy-MM-dd HH:mm:ss")), _rules())
+    return hunt_table(hits, "ts", ["event_type"])
+
+
 # --- whole timelines ------------------------------------------------------------------------------
 
 
@@ -561,6 +603,23 @@ def json_round_trip(spark, folder):
     return _fields(files.read(spark, [to], "json").where("data IS NOT NULL"))
 
 
+@query(_BACK)
+def csv_round_trip(spark, folder):
+    """All events written as CSV and read back."""
+    to = _written(spark, "events")
+    e = _events(spark, folder).select("event_id", "event_type", "value", "user_id")
+    sinks.write_csv(e, to)
+    return spark.read.schema(e.schema).option("header", True).csv(to)
+
+
+@query(_BACK)
+def yaml_round_trip(spark, folder):
+    """All events dumped as pretty documents behind ``---`` and read back."""
+    to = _written(spark, "events")
+    sinks.write_yaml(_events(spark, folder).select("event_id", "event_type", "value", "user_id"), to)
+    return _fields(spark.read.option("lineSep", "---\n").text(to).where("trim(value) <> ''").withColumnRenamed("value", "data"))
+
+
 @query("SELECT event_id, 'Errors' AS rule FROM events WHERE event_type = 'error'")
 def stream_hunt(spark, folder):
     """All events as a stream: hits are written as they come and read back."""
