@@ -228,6 +228,12 @@ def test_store(tmp_path):
     assert [p.rpartition("/")[2] for p, _ in store.discover_sized([uri], ["json"])] == ["x.json"] and len(store.discover_sized([uri], ["$MFT"])) == 1
     with store.Source(store.discover_sized([uri], ["json"])[0][0]) as f:
         assert f.read(0, 9) == b"1"
+    (tmp_path / "b c").mkdir()
+    (tmp_path / "b c" / "é.json").write_text("3")
+    for p in (str(tmp_path / "b c"), uri + "/b c", uri + "/b%20c", "file:" + str(tmp_path / "b c")):
+        ((found, size),) = store.discover_sized([p])
+        with store.Source(found) as f:
+            assert f.read(0, 9) == b"3" and size == 1
     assert store.discover_sized([str(tmp_path / "no")], skip_errors=True) == []
 
 

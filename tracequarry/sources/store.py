@@ -7,6 +7,7 @@ the driver but directory listings, and no file has to fit into one row.
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from urllib.parse import quote, unquote
 
 #: Bytes of a file that one task reads at once, where its format can be split.
 SPLIT = 64 << 20
@@ -16,14 +17,17 @@ def resolve(path: str):
     """(file system, path within it) of a local path or URI."""
     from pyarrow import fs
 
-    if "://" in path or path.startswith("file:"):
+    if path.startswith("file:"):
+        return fs.LocalFileSystem(), unquote(path[5:].removeprefix("//"))
+    if "://" in path:
         return fs.FileSystem.from_uri(path)
     return fs.LocalFileSystem(), path
 
 
 def _full(path: str, inner: str) -> str:
-    """A listed path with the scheme of the path it was listed from."""
-    return path.split("://", 1)[0] + "://" + ("" if not path.startswith("file:") else "") + inner if "://" in path else inner
+    """A listed path as it can be opened again: a URI of the same kind, or a local path."""
+    scheme, mark, _ = path.partition("://")
+    return f"{scheme}://{quote(inner)}" if mark and scheme != "file" else inner
 
 
 def list_files(path: str) -> list[tuple[str, int]] | None:
