@@ -168,3 +168,18 @@ def test_margin_is_validated_on_held_out_words(spark):
     assert at[margin][0] <= 0.02 and at[margin][1] + at[margin][2] <= 0.1
     assert all(a[1] >= b[1] and a[2] <= b[2] for a, b in zip(curve, curve[1:]))
     assert er.validate(counts, np.zeros(er.FOLDS), [])[1] == er.MARGIN
+
+
+def test_the_curve_decides_on_stuffed_sentences():
+    judge = spam.Judge({"en": {"the": 0.9, "was": 0.6, "of": 0.8, "in": 0.7, "we": 0.6}})
+    page = " ".join(f"We offer free hive parser in {x}." for x in ("Lumen", "Hills", "Vale", "Hollow", "Field", "Moor") * 4)
+    assert judge.spam_part(page, True) > spam.GREATER_PART and judge.spam_part(page, False) == 0.0
+
+
+def test_repetitive_prose_is_no_spam(spark):
+    random.seed(12)
+    good = [" ".join(PROSE.format(*random.sample(NOUNS, 2)) for _ in range(random.randint(2, 6))) for _ in range(150)]
+    good += [" ".join(f"The hive {random.choice(['keeps', 'shows', 'loses'])} {random.choice(['every record', 'no value', 'the first entry'])} {random.choice(['after the copy', 'before the review', 'for the report'])}." for _ in range(8)) for _ in range(5)]
+    bad = [" ".join(f"We offer free hive parser in {random.choice(['Lumen', 'Northvale', 'Hollow', 'Tarn'])} {random.choice(['Hills', 'East', 'Central'])}." for _ in range(40)) for _ in range(3)]
+    df = spark.createDataFrame(list(enumerate(good + bad)), "doc_id bigint, text string").selectExpr("*", "'en' AS lang")
+    assert sorted(r[0] for r in spam.spam_pages(df).collect()) == [155, 156, 157]

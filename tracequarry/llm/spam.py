@@ -10,7 +10,9 @@
    slope, residual or divergence (robust z-score) flags a page.
 4. An exact check of the flagged pages measures which part is keywords, links or tags rather
    than sentences or technical lists, as logs, indicator lists and rules have curves unlike
-   prose, too. Pages that no curve flags are never spam and are not read again.
+   prose, too. Pages that no curve flags are never spam and are not read again. Whether
+   sentences that carry a few words over and over are meant for search is decided by the
+   page's curve: only one far steeper than comparable prose, or far from it, makes them count.
 """
 
 from __future__ import annotations
@@ -41,7 +43,9 @@ HELD_WORDS = 200_000
 EXTREME_CURVE, EXTREME_DIVERGENCE = 4.0, 2.0
 #: Share of a paragraph's words that its three most frequent keywords must have for its sentences to count as stuffed.
 #: (The second value is for texts without blanks between words, whose stretches repeat more.)
-DOMINANCE, DOMINANCE_UNSPACED = 0.34, 0.42
+DOMINANCE, DOMINANCE_UNSPACED = 0.33, 0.42
+#: Robust z-scores of a page's slope and divergence from which such sentences do count.
+STEEP, DIVERGENT = -7.0, 6.0
 #: Share of a language's documents from which a core word is never a keyword.
 FUNCTION_SHARE = 0.5
 #: Most languages whose quantiles (some 20 rows each) are broadcast; with more the optimiser chooses the join.
@@ -204,8 +208,10 @@ class Judge:
                 return "prose"
         return "link" if links or tags else "keyword"
 
-    def spam_part(self, text: str) -> float:
-        """The part of a page (by characters) that is links, tags or repeated keywords; 0 without repetition."""
+    def spam_part(self, text: str, steep: bool = True) -> float:
+        """The part of a page (by characters) that is links, tags or repeated keywords; 0 without repetition.
+
+        Sentences stuffed with keywords are part of it where the page's curve is ``steep`` or divergent."""
         links = len(find_links(text))
         tags = len(find_tags(_URL.sub(" ", text) if links else text))
         sizes: Counter = Counter()
@@ -230,7 +236,7 @@ class Judge:
             top = sorted((c for w, c in said.items() if c >= 3 and len(w) > 1 and w not in self.function), reverse=True)[:3]
             unspaced = 3 * sum(1 for ch in paragraph if "\u3040" <= ch <= "\u9fff") > len(paragraph)
             # sentences that only carry a few keywords, over and over
-            sizes["stuffed" if n >= 12 and sum(top) >= (DOMINANCE_UNSPACED if unspaced else DOMINANCE) * n else "prose"] += prose
+            sizes["stuffed" if steep and n >= 12 and sum(top) >= (DOMINANCE_UNSPACED if unspaced else DOMINANCE) * n else "prose"] += prose
         total = sum(sizes.values())
         if not total:
             return 0.0
@@ -262,7 +268,7 @@ def measure_pages(documents: DataFrame, core: dict[str, dict[str, float]], key:
 
 
 def spam_parts(texts: DataFrame, core: dict[str, dict[str, float]], key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``key`` and spam_part of every page of ``texts``."""
+    """``key`` and spam_part of every page of ``texts`` (key, text, steep)."""
     held = texts.sparkSession.sparkContext.broadcast(core)
 
     def run(batches: Iterable) -> Iterator:
@@ -270,9 +276,9 @@ def spam_parts(texts: DataFrame, core: dict[str, dict[str, float]], key: str = "
 
         judge = Judge(held.value)
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([judge.spam_part(t) for t in b.column(1).to_pylist()], pa.float64())], names=[key, "spam_part"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([judge.spam_part(t, s) for t, s in zip(b.column(1).to_pylist(), b.column(2).to_pylist())], pa.float64())], names=[key, "spam_part"])
 
-    rows = texts.select(key, text)
+    rows = texts.select(key, text, "steep")
     return rows.mapInArrow(run, f"`{key}` {rows.schema[0].dataType.simpleString()}, spam_part double")
 
 
@@ -333,7 +339,8 @@ def judged_pages(documents: DataFrame, key: str = "doc_id", text: str = "text",
     """
     core = core_words(documents, text, language)
     flagged = flagged_pages(documents, core, key, text).where("flagged")
-    texts = documents.where(F.col(text).isNotNull() & (F.trim(F.col(text)) != "")).select(key, text).join(flagged.select(key), key, "left_semi")
+    steep = flagged.groupBy(key).agg(F.max(F.coalesce((F.col("z_slope") <= STEEP) | (F.col("z_divergence") >= DIVERGENT), F.lit(True))).alias("steep"))
+    texts = documents.where(F.col(text).isNotNull() & (F.trim(F.col(text)) != "")).select(key, text).join(steep, key)
     parts = spam_parts(texts, core, key, text).groupBy(key).agg(F.max("spam_part").alias("spam_part"))
     return flagged.dropDuplicates([key]).join(parts, key).withColumn("spam", F.col("spam_part") > GREATER_PART)
 
