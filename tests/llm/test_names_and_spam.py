@@ -170,6 +170,68 @@ def test_margin_is_validated_on_held_out_words(spark):
     assert er.validate(counts, np.zeros(er.FOLDS), [])[1] == er.MARGIN
 
 
+def test_the_margin_comes_from_all_words(spark):
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    random.seed(10)
+    heads = ["mé", "lö", "sã", "tü", "pê", "ñu", "çe", "bå", "gø", "dì"]
+    words = [a + b + c for a in heads for b in ("lan", "ra", "ti", "le", "ni", "val", "do", "men") for c in ("ge", "do", "on", "ler", "ia", "q")]
+    df = spark.createDataFrame([(i, f"{w}_{i}") for i, w in enumerate(words)], "id bigint, name string")
+    fold_of = dict(map(tuple, df.select("id", F.pmod(F.xxhash64("name", F.lit(1)), F.lit(er.FOLDS))).collect()))
+    tables, totals = np.zeros((er.FOLDS, er.BUCKETS)), np.zeros(er.FOLDS)
+    for i, w in enumerate(words):
+        t = f"\x02{w}\x03"
+        totals[fold_of[i]] += len(t)
+        for k in (1, 2, 3):
+            for j in range(len(t) - k + 1):
+                tables[fold_of[i], er.gram_bucket(t[j : j + k])] += 1
+    weights, margin, _ = er.validate(tables, totals, [(w, [int(fold_of[i] == k) for k in range(er.FOLDS)]) for i, w in enumerate(words)])
+    model = er.train(df, "name")
+    assert len(words) == 480 and model.weights == pytest.approx(weights, abs=1e-6) and model.margin == margin
+
+
+def test_the_curve_counts_every_garbling_in_every_fold():
+    import numpy as np
+
+    random.seed(11)
+    words = [(a + b, [random.randint(0, 3) for _ in range(er.FOLDS - 1)] + [1]) for a in ("é", "lö", "sã", "тю", "ð") for b in ("lan", "ra", "ti", "ð", "ñi", "val", "dø", "men", "q", "", "ß")]
+    tables, totals = np.zeros((er.FOLDS, er.BUCKETS)), np.zeros(er.FOLDS)
+    for w, folds in words:
+        t = f"\x02{w}\x03"
+        totals += np.array(folds) * len(t)
+        for k in (1, 2, 3):
+            for j in range(len(t) - k + 1):
+                tables[:, er.gram_bucket(t[j : j + k])] += folds
+    weights, _, curve = er.validate(tables, totals, words)
+    models = [er.Model(tables.sum(axis=0) - tables[k], totals.sum() - totals[k], weights, 0.0) for k in range(er.FOLDS)]
+    plain, garbled = [], []
+    for w, folds in words:
+        made = er.garbled_forms(w)
+        for k, n in enumerate(folds):
+            plain.append((n, er.choose(models[k], w)[0]))
+            for text in made:
+                gain, fixed, _ = er.choose(models[k], text)
+                garbled.append((n / len(made), gain, fixed.lower() == w))
+    for m, taken, missed, wrong in curve:
+        assert taken == pytest.approx(sum(n for n, g in plain if g > m) / sum(n for n, _ in plain))
+        assert missed == pytest.approx(sum(n for n, g, _ in garbled if g <= m) / sum(n for n, *_ in garbled))
+        assert wrong == pytest.approx(sum(n for n, g, right in garbled if g > m and not right) / sum(n for n, *_ in garbled))
+
+
+def test_lost_last_letters_do_not_depend_on_the_margin_of_chains():
+    import numpy as np
+
+    counts = np.zeros(er.BUCKETS)
+    t = "\x02café\x03"
+    for k in (1, 2, 3):
+        for j in range(len(t) - k + 1):
+            counts[er.gram_bucket(t[j : j + k])] += 1000
+    for margin in (0.0, 20.0):
+        model = er.Model(counts, 1000.0 * len(t), er.Model.WEIGHTS, margin)
+        assert er._lost_letters(model, "caf?") and not er._lost_letters(model, "ready?")
+
+
 def test_the_curve_decides_on_stuffed_sentences():
     judge = spam.Judge({"en": {"the": 0.9, "was": 0.6, "of": 0.8, "in": 0.7, "we": 0.6}})
     page = " ".join(f"We offer free hive parser in {x}." for x in ("Lumen", "Hills", "Vale", "Hollow", "Field", "Moor") * 4)

@@ -6,7 +6,9 @@ scored against the name as it stands; the likeliest chain is accepted if it is b
 more than a margin. The weights of the n-gram orders and the margin are not set by hand: the
 records are parted into folds, whose words are judged by the counts of the other folds; the
 weights are those under which held-out words are likeliest, and the margin is where garbled
-and untouched held-out words are told apart with the fewest errors (see :func:`validate`). Paths are judged component by component, because
+and untouched held-out words are told apart with the fewest errors (see :func:`validate`). All
+words take part, in every fold that they occur in and under every garbling, so the tasks judge
+them and only sums reach the driver. Paths are judged component by component, because
 often just one of them is garbled; a component that ends in the first half of a two-byte
 character is also tried together with the next ones, as its second half may have become a
 backslash.
@@ -21,7 +23,7 @@ import codecs
 import math
 import re
 import uuid
-from collections.abc import Iterable, Iterator, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -31,11 +33,13 @@ from tracequarry.runtime import cut_lineage
 
 #: Buckets of the hashed n-gram counts.
 BUCKETS = 1 << 19
-#: Least gain of log-likelihood of an accepted chain where too few words could be held out to validate one,
-#: and what each step of a chain costs.
+#: Least gain of log-likelihood of an accepted chain where too few words could be held out to validate one
+#: and of a letter lost at the end of a word, and what each step of a chain costs.
 MARGIN, STEP_COST = 3.0, 1.0
-#: Folds of the records; most words that are judged to validate the margin, and least for doing so.
-FOLDS, VALIDATED, LEAST_VALIDATED = 5, 400, 50
+#: Folds of the records, and least words for validating the margin.
+FOLDS, LEAST_VALIDATED = 5, 50
+#: Words that one task judges (a task judges fewer where there are too few for all cores).
+TASK_WORDS = 2000
 #: Margins that are tried.
 MARGINS = tuple(m / 2 for m in range(0, 41))
 #: Longest chain of wrong decodings that is undone.
@@ -174,8 +178,9 @@ class Model:
 
     WEIGHTS = (0.70, 0.24, 0.059)
 
-    def __init__(self, counts: np.ndarray, total: float, weights: tuple[float, float, float] = WEIGHTS, margin: float = MARGIN):
-        self.counts, self.total, self.weights, self.margin = counts, max(total, 1.0), weights, margin
+    def __init__(self, counts: np.ndarray, total: float, weights: tuple[float, float, float] = WEIGHTS, margin: float = MARGIN, room: float = 1.0):
+        """``room``: share of the memory for what is remembered, where a worker has several models."""
+        self.counts, self.total, self.weights, self.margin, self.room = counts, max(total, 1.0), weights, margin, room
         self._count: dict[str, float] = {}
         self._score: dict[str, float] = {}
         self._most: dict[str, float] = {}  # words of which only an upper bound was needed
@@ -185,7 +190,7 @@ class Model:
     def count(self, gram: str) -> float:
         c = self._count.get(gram)
         if c is None:
-            if len(self._count) > 500_000:
+            if len(self._count) > 500_000 * self.room:
                 self._count.clear()
             c = self._count[gram] = float(self.counts[gram_bucket(gram)])
         return c
@@ -217,13 +222,13 @@ class Model:
             a, b, c = self.shares(t, i)
             total += math.log(1e-7 + one * a + two * b + three * c)
             if total < least:
-                if len(self._most) > 300_000:
+                if len(self._most) > 300_000 * self.room:
                     self._most.clear()
                 self._most[word] = total
                 return total
         if _mixed(word):
             total += MIXED
-        if len(self._score) > 200_000:
+        if len(self._score) > 200_000 * self.room:
             self._score.clear()
         self._score[word] = total
         return total
@@ -274,7 +279,7 @@ def train(values: DataFrame, column: str) -> Model:
 
     A word is clean when it has no character that wrong decodings typically leave
     (``DIRTY``) and undoing a decoding gives no much more frequent word. The weights and the
-    margin are found with counts that leave the judged words out."""
+    margin are found on all of them, with counts that leave the judged words out."""
     words = clean_words(cut_lineage(vocabulary(values, column)))
     words = cut_lineage(words.groupBy(F.lower("w").alias("w")).agg(F.array(*[F.sum(F.col("folds")[k]) for k in range(FOLDS)]).alias("folds")))
     one = F.length("gram") == 1
@@ -287,23 +292,29 @@ def train(values: DataFrame, column: str) -> Model:
     for bucket, counts, ones in counted.collect():  # at most BUCKETS rows
         tables[:, bucket] = counts
         totals += ones
-    sample = [(r[0], r[1]) for r in words.orderBy(F.xxhash64("w", F.lit(2))).limit(VALIDATED).collect()]
-    weights, margin, _ = validate(tables, totals, sample)
+    weights, margin, _ = validate_all(tables, totals, words)
     return Model(tables.sum(axis=0), float(totals.sum()), weights, margin)
 
 
-def fit_weights(shares: Sequence[tuple[float, float, float]], often: Sequence[float], rounds: int = 12) -> tuple[float, float, float]:
-    """The weights of the n-gram orders under which characters are likeliest (expectation maximisation)."""
-    if not shares:
-        return Model.WEIGHTS
-    p, n = np.array(shares)[:, ::-1], np.array(often, dtype=float)
+def likely_parts(shares: np.ndarray, often: np.ndarray, weights: Sequence[float]) -> np.ndarray:
+    """What each n-gram order contributes to characters that occur ``often``, and how many these are:
+    sums over rows of ``shares`` (highest order first)."""
+    parts = shares * np.asarray(weights)
+    parts /= parts.sum(axis=1, keepdims=True) + 1e-7
+    return np.append((parts * often[:, None]).sum(axis=0), often.sum())
+
+
+def fit_weights(parts_under: Callable[[Sequence[float]], np.ndarray], rounds: int = 12) -> tuple[float, float, float]:
+    """The weights of the n-gram orders under which characters are likeliest (expectation maximisation),
+    given :func:`likely_parts` of all characters as a function of the weights."""
     weights = np.array(Model.WEIGHTS)
     for _ in range(rounds):
-        parts = p * weights
-        parts /= parts.sum(axis=1, keepdims=True) + 1e-7
-        weights = np.maximum((parts * n[:, None]).sum(axis=0) / n.sum(), 0.01)
+        parts = parts_under(weights)
+        if not parts[-1]:
+            return Model.WEIGHTS
+        weights = np.maximum(parts[:-1] / parts[-1], 0.01)
         weights /= weights.sum() * 1.001
-    return tuple(float(w) for w in weights)
+    return tuple(round(float(w), 9) for w in weights)  # sums of many tasks differ in the last digits
 
 
 def garbled_forms(word: str) -> list[str]:
@@ -328,43 +339,124 @@ _TABLES_BACK: dict[str, dict[int, str]] = {}
 _HOLES = {ord(ch): None for ch in _C1.values()}
 
 
+def fold_models(tables: np.ndarray, totals: np.ndarray, weights: tuple[float, float, float] = Model.WEIGHTS) -> list[Model]:
+    """For each fold the model of all others, without a margin."""
+    counts, total = tables.sum(axis=0), totals.sum()
+    return [Model(counts - tables[k], float(total - totals[k]), weights, 0.0, 1 / FOLDS) for k in range(FOLDS)]
+
+
+def held_out_shares(models: Sequence[Model], words: Iterable[tuple[str, Sequence[int]]]) -> np.ndarray:
+    """One row per character of a word and fold that it occurs in: its likelihoods by the counts of the
+    other folds, highest order first, and its occurrences."""
+    rows = []
+    for w, folds in words:
+        t = "\x02" + re.sub(r"\d+", "0", w) + "\x03"
+        rows += [(*reversed(models[k].shares(t, i)), n) for k, n in enumerate(folds) if n for i in range(1, len(t))]
+    return np.array(rows, dtype=float).reshape(-1, 4)
+
+
+def held_out_errors(models: Sequence[Model], words: Iterable[tuple[str, Sequence[int]]]) -> np.ndarray:
+    """Occurrences of words untouched and garbled, then for each margin those that are untouched and
+    taken for garbled, garbled and missed, and garbled and restored wrongly."""
+    margins, judged, errors = np.array(MARGINS), np.zeros(2), np.zeros((3, len(MARGINS)))
+    for w, folds in words:
+        made = garbled_forms(w)
+        for text in (w, *made):
+            forms = undone(text)
+            for k, n in enumerate(folds):
+                if not n:
+                    continue
+                gain, fixed, _ = choose(models[k], text, forms=forms)
+                if text == w:
+                    judged[0] += n
+                    errors[0] += n * (gain > margins)
+                else:
+                    judged[1] += n / len(made)
+                    errors[1] += n / len(made) * (gain <= margins)
+                    if fixed.lower() != w:
+                        errors[2] += n / len(made) * (gain > margins)
+    return np.concatenate([judged, errors.ravel()])
+
+
+def best_margin(sums: np.ndarray) -> tuple[float, list[tuple[float, float, float, float]]]:
+    """(margin, curve) from the sums of :func:`held_out_errors`."""
+    untouched, garbled = (float(n) or 1.0 for n in sums[:2])
+    wrong = sums[2:].reshape(3, -1) / np.array([[untouched], [garbled], [garbled]])
+    curve = [(m, *map(float, c)) for m, c in zip(MARGINS, wrong.T)]
+    errors = [round(sum(c[1:]), 9) for c in curve]
+    best = [c[0] for c, e in zip(curve, errors) if e == min(errors)]
+    return best[len(best) // 2], curve
+
+
 def validate(tables: np.ndarray, totals: np.ndarray, words: Sequence[tuple[str, Sequence[int]]]) -> tuple[tuple[float, float, float], float, list[tuple[float, float, float, float]]]:
     """(weights, margin, curve) from the counts of each fold and words with their occurrences in each fold.
 
-    Each word is judged as it stands, and garbled by every tenth chain, with the counts of
-    all folds but one in which it occurs. ``curve`` gives for each margin the shares of
+    Each word is judged as it stands, and garbled by every single chain, for each fold that
+    it occurs in with the counts of all others. ``curve`` gives for each margin the shares of
     occurrences that are untouched and taken for garbled, garbled and missed, and garbled
     and restored wrongly; the margin is the middle of those with the fewest errors
     together. Of fewer than ``LEAST_VALIDATED`` words nothing is validated: ``MARGIN``."""
     if len(words) < LEAST_VALIDATED:
         return Model.WEIGHTS, MARGIN, []
-    plain = [Model(tables.sum(axis=0) - tables[k], float(totals.sum() - totals[k])) for k in range(FOLDS)]
-    placed = []  # (word, occurrences, fold in which it is held out)
-    for i, (w, folds) in enumerate(words):
-        at = [k for k in range(FOLDS) if folds[k]]
-        placed.append((w, float(sum(folds)), at[i % len(at)]))
-    shares, often = [], []
-    for w, n, k in placed:
-        t = "\x02" + re.sub(r"\d+", "0", w) + "\x03"
-        shares += [plain[k].shares(t, i) for i in range(1, len(t))]
-        often += [n] * (len(t) - 1)
-    weights = fit_weights(shares, often)
-    models = [Model(m.counts, m.total, weights, 0.0) for m in plain]
-    untouched, garbled = [], []
-    for i, (w, n, k) in enumerate(placed):
-        untouched.append((choose(models[k], w)[0], n))
-        made = garbled_forms(w)[i % 10 :: 10]
-        for text in made:
-            gain, fixed, _ = choose(models[k], text)
-            garbled.append((gain, fixed.lower() == w, n / len(made)))
-    all_of = (sum(n for _, n in untouched) or 1.0, sum(n for *_, n in garbled) or 1.0)
-    curve = []
-    for m in MARGINS:
-        wrong = sum(n for g, n in untouched if g > m), sum(n for g, _, n in garbled if g <= m), sum(n for g, right, n in garbled if g > m and not right)
-        curve.append((m, wrong[0] / all_of[0], wrong[1] / all_of[1], wrong[2] / all_of[1]))
-    errors = [round(sum(c[1:]), 9) for c in curve]
-    best = [c[0] for c, e in zip(curve, errors) if e == min(errors)]
-    return weights, best[len(best) // 2], curve
+    rows = held_out_shares(fold_models(tables, totals), words)
+    weights = fit_weights(lambda w: likely_parts(rows[:, :3], rows[:, 3], w))
+    return weights, *best_margin(held_out_errors(fold_models(tables, totals, weights), words))
+
+
+def validate_all(tables: np.ndarray, totals: np.ndarray, words: DataFrame) -> tuple[tuple[float, float, float], float, list[tuple[float, float, float, float]]]:
+    """:func:`validate` for all rows of ``words`` (w, folds) at once, judged by the tasks."""
+    n = words.count()
+    if n < LEAST_VALIDATED:
+        return Model.WEIGHTS, MARGIN, []
+    context = words.sparkSession.sparkContext
+    held = context.broadcast((tables, totals))
+
+    def rows_of(batches: Iterable) -> Iterator[tuple[str, Sequence[int]]]:
+        for b in batches:
+            yield from zip(b.column(0).to_pylist(), b.column(1).to_pylist())
+
+    def shares(batches: Iterable) -> Iterator:
+        import pyarrow as pa
+
+        models = fold_models(*held.value)
+        for b in batches:
+            rows = held_out_shares(models, rows_of([b]))
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in rows.T], names=["three", "two", "one", "n"])
+
+    tasks = 1 + n // TASK_WORDS
+    rows = cut_lineage(words.select("w", "folds").repartition(tasks, "w").mapInArrow(shares, "three double, two double, one double, n double"))
+
+    def parts_under(weights: Sequence[float]) -> np.ndarray:
+        def parts(batches: Iterable) -> Iterator:
+            total = np.zeros(4)
+            for b in batches:
+                columns = [c.to_numpy() for c in b.columns]
+                total += likely_parts(np.stack(columns[:3], axis=1), columns[3], weights)
+            yield _sums(total)
+
+        return _summed(rows.mapInArrow(parts, "sums array<double>"))
+
+    weights = fit_weights(parts_under)
+
+    def errors(batches: Iterable) -> Iterator:
+        yield _sums(held_out_errors(fold_models(*held.value, weights), rows_of(batches)))
+
+    spread = words.select("w", "folds").repartition(max(tasks, context.defaultParallelism), "w")
+    sums = _summed(spread.mapInArrow(errors, "sums array<double>"))
+    held.destroy()
+    return weights, *best_margin(sums)
+
+
+def _sums(values: np.ndarray):
+    """An Arrow batch of one row that holds sums of a task."""
+    import pyarrow as pa
+
+    return pa.RecordBatch.from_arrays([pa.array([values.tolist()], pa.list_(pa.float64()))], names=["sums"])
+
+
+def _summed(sums: DataFrame) -> np.ndarray:
+    """The totals of the rows of sums, one from each task."""
+    return np.array([r[0] for r in sums.collect()]).sum(axis=0)
 
 
 CLEAN, RESTORED, LOST = 0, 1, 2
@@ -391,7 +483,7 @@ def _lost_letters(model: Model, component: str) -> bool:
             return True
         plain = model.score(body)
         filled = max(model.score(body + ch) for ch in "áàâãäåæçéèêëíìîïñóòôõöøúùûüýÿąćęłńśźżčďěňřšťůžşğı")
-        if filled > -4.0 * (len(body) + 2) and filled > plain + model.margin:
+        if filled > -4.0 * (len(body) + 2) and filled > plain + MARGIN:  # the model's margin is validated for chains alone
             return True
     return False
 
@@ -476,22 +568,29 @@ def whole_score(model: Model, text: str, least: float = -math.inf) -> float:
     return total
 
 
-def choose(model: Model, text: str, two_byte: bool = False) -> tuple[float, str, tuple]:
-    """(gain beyond the margin, result, chain) of the likeliest chain; a gain of 0 or less: leave it.
+def undone(text: str, two_byte: bool = False) -> dict[str, tuple]:
+    """The shortest chain to each text that undoing wrong decodings can give and that may be a name.
     ``two_byte`` allows only chains into encodings whose characters may hold a backslash."""
+    forms: dict[str, tuple] = {}
+    for chain, fixed in candidates(text).items():
+        if two_byte and chain[-1][1] not in WITH_BACKSLASH:
+            continue
+        if fixed not in forms and not _UNLIKELY.search(fixed):
+            forms[fixed] = chain  # chains come shortest first
+    return forms
+
+
+def choose(model: Model, text: str, two_byte: bool = False, forms: dict[str, tuple] | None = None) -> tuple[float, str, tuple]:
+    """(gain beyond the margin, result, chain) of the likeliest chain; a gain of 0 or less: leave it.
+    ``forms``: what :func:`undone` gives, where it is known."""
     # a word of one or two symbols (such as a ruler) speaks neither for nor against
     base = sum(
         model.score(w)
         for w in _SPLIT.split(text)
         if len(w) > 1 and not w.isascii() and (len(set(w)) > 2 or any(ch.isalpha() or "\x7f" < ch < "\xa0" for ch in w))
     )
-    gain, out, best, tried = 0.0, text, (), set()
-    for chain, fixed in candidates(text).items():
-        if two_byte and chain[-1][1] not in WITH_BACKSLASH:
-            continue
-        if _UNLIKELY.search(fixed) or fixed in tried:
-            continue
-        tried.add(fixed)  # chains come shortest first
+    gain, out, best = 0.0, text, ()
+    for fixed, chain in (undone(text, two_byte) if forms is None else forms).items():
         cost = base + model.margin + STEP_COST * len(chain)
         g = whole_score(model, fixed, cost + gain) - cost
         if g > gain:
